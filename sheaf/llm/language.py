@@ -36,6 +36,8 @@ SIZES = (3, 4, 5)
 SAMPLE, LEAST, TOP = 16_000, 3, 30_000
 #: Slots of the filter as a power of two, hash functions, and the share of its best language's rate that an n-gram needs in another.
 SLOT_BITS, HASHES, SHARE = 20, 3, 0.2
+#: Bits of an n-gram's hash; the others of 64 number the text in its run.
+GRAM_BITS = 52
 
 #: Letters keep their bytes; ASCII that is no letter becomes a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -43,11 +45,14 @@ _FOLD[:0x61], _FOLD[0x7B:0x80] = 0x20, 0x20
 
 
 def _grams(col: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """In runs of whole texts: rows, and text (from 0 in the run) and hash of each n-gram without a space inside."""
+    """In runs of whole texts: rows, and text (from 0 in the run) and hash of each n-gram without a space inside.
+
+    A text's repeats of an n-gram count once, so that a line said over and over doesn't decide.
+    """
     at, data = buffers(pc.utf8_lower(col))
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + RUN_BYTES, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + RUN_BYTES, "right")) - 1), i + (1 << 64 - GRAM_BITS))
         first = np.arange(j - i + 1) + (at[i : j + 1] - at[i])
         buf = np.full(first[-1] + 1, 0x20, np.uint8)
         body = np.ones(len(buf), bool)
@@ -55,7 +60,7 @@ def _grams(col: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         buf[body] = _FOLD[data[at[i] : at[j]]]
         spaces = np.concatenate([[0], np.cumsum(buf == 0x20)])
         wide = buf.astype(np.uint64)
-        docs, out = [], []
+        keys = []
         for size in SIZES:
             m = len(buf) - size + 1
             if m <= 0:
@@ -64,9 +69,11 @@ def _grams(col: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
             for k in range(size):
                 h = (h << np.uint64(8)) | wide[k : m + k]
             inside = np.flatnonzero(spaces[size - 1 : m + size - 1] == spaces[1 : m + 1])
-            out.append(mix(h[inside], size))
-            docs.append(np.searchsorted(first, inside, "right") - 1)
-        yield slice(i, j), np.concatenate(docs), np.concatenate(out)
+            doc = (np.searchsorted(first, inside, "right") - 1).astype(np.uint64)
+            keys.append((doc << np.uint64(GRAM_BITS)) | (mix(h[inside], size) >> np.uint64(64 - GRAM_BITS)))
+        key = np.sort(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+        key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+        yield slice(i, j), (key >> np.uint64(GRAM_BITS)).astype(np.int64), key & np.uint64((1 << GRAM_BITS) - 1)
         i = j
 
 
@@ -111,8 +118,8 @@ class Model:
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
-    """The slots of each n-gram: independent bits of its hash."""
-    return [((h >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32) for k in range(HASHES)]
+    """The slots of each n-gram."""
+    return [(mix(h, k) >> np.uint64(64 - SLOT_BITS)).astype(np.int32) for k in range(HASHES)]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: int = LEAST, top: int = TOP) -> Model:
@@ -131,8 +138,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         for batch in batches:
             langs = np.array([order.index(x) if x in known else -1 for x in batch.column(1).to_pylist()], np.int64)
             for part, docs, h in _grams(text_column(batch, "text")):
-                once = np.unique(mix(h + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-                h, code = h[once], langs[part][docs[once]]
+                code = langs[part][docs]
                 for k in np.unique(code[code >= 0]):
                     g, n = np.unique(h[code == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["k", "gram", "n"])
