@@ -1,7 +1,10 @@
 """BPE encoding and decoding of whole texts, exact, by tree concatenation.
 
 White space separates words for good (no piece of the tokenizer reaches over
-it), so a word is encoded once for each worker and then looked up. A text of
+it), so a word is encoded once for each worker and then looked up. Texts of
+Latin letters and common signs are split into the tokenizer's own words first,
+which repeat far more often than words with their case and punctuation; the
+library is asked for new ones by the thousand. A text of
 more than ``long_text`` characters is cut into pieces anywhere; the pieces are
 encoded by different tasks and joined pairwise. A piece is (open run at its
 head, ids between, open run at its tail), and two pieces join by joining the
@@ -29,7 +32,6 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,30 @@ from pyspark.sql import functions as F
 from sheaf.llm.words import text_column
 
 #: Characters from which a text is cut into pieces, characters of a run that is halved, and words a worker remembers.
-LONG_TEXT, UNSPLIT, REMEMBER = 1 << 16, 1 << 12, 250_000
+LONG_TEXT, UNSPLIT, REMEMBER = 1 << 16, 1 << 12, 200_000
 #: Bytes of text that leave a task at once.
-OUT_BYTES = 1 << 21
+OUT_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts that no normalisation but lower case changes, and in which these classes are the tokenizer's.
+_LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^ \t-\r\x85\xa0\w]|_)+")
+#: The one pattern that _LATIN_WORD stands for, and the word end of the vocabulary.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_END = "</w>"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
+def _byte_signs() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+_BYTE_SIGN = _byte_signs()
+
+
 @dataclass
 class Tokens:
     """A run of text without white space and its tokens with their places in it."""
@@ -69,6 +87,7 @@ class Piece:
 class Codec:
     def __init__(self, spec: str, unsplit: int = UNSPLIT) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
@@ -79,7 +98,29 @@ class Codec:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.unsplit = unsplit
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.latin = self._is_latin_by_pattern(read)
+        if self.latin:
+            self.model_only = Tokenizer(self.tokenizer.model)
+            self.model_only.pre_tokenizer = WhitespaceSplit()
+            self.ends_word = np.array([t.endswith(_END) for t in self.token])
+            self.as_bytes = {c: "".join(_BYTE_SIGN[b] for b in chr(c).encode()) for c in (*range(0x250), *range(0x2010, 0x20C0)) if c != 0x20}
+
+    @staticmethod
+    def _is_latin_by_pattern(read: dict) -> bool:
+        """Whether the file's steps are those that the Latin split stands for."""
+        steps = (read.get("normalizer") or {}).get("normalizers", []), (read.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = tuple([x["type"] for x in part] for part in steps)
+        model = read["model"]
+        return (
+            kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+            and steps[1][0]["pattern"].get("Regex") == _PATTERN
+            and model["type"] == "BPE"
+            and model.get("end_of_word_suffix") == _END
+            and not model.get("dropout")
+            and not model.get("ignore_merges")
+        )
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """As the library's decode with skip_special_tokens=False."""
@@ -87,27 +128,52 @@ class Codec:
             return " ".join(map(self.token.__getitem__, ids))
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """The ids of white-space separated words, in order."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+    def _lookup(self, words: list[str], new_words) -> np.ndarray:
+        """The ids of the words in order; new_words encodes those not known.
+
+        Two generations are kept: what the older one still serves moves to the
+        newer, and the older is dropped when the newer is full.
+        """
+        known, earlier = self.known, self.earlier
+        new = []
+        for w in set(words).difference(known):
+            got = earlier.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                known[w] = got
         if new:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            short = [w for w in new if len(w) <= self.unsplit]
-            for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-            for w in new:
-                if len(w) > self.unsplit:
-                    known[w] = tuple(self.run(w).ids)
-        out = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
+            fresh = dict(zip(new, new_words(new), strict=True))
+            known.update(fresh)
+        out = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
         if len(known) > REMEMBER:
-            known.clear()
+            self.earlier, self.known = known, {}
+        return out
+
+    def _raw_words(self, words: list[str]) -> list[bytes]:
+        short = [w for w in words if len(w) <= self.unsplit]
+        got = dict(zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True))
+        return [np.array(got[w].ids if w in got else self.run(w).ids, np.int32).tobytes() for w in words]
+
+    def _latin_words(self, words: list[str]) -> list[bytes]:
+        """Words as the tokenizer's pattern cuts them, in lower case: by its model alone, many at once."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            if any(len(w) > self.unsplit for w in part):
+                out += [np.array(self.run(w).ids, np.int32).tobytes() for w in part]
+                continue
+            joined = " ".join(part).translate(self.as_bytes)
+            ids = np.array(self.model_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            packed = ids.tobytes()
+            out += [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return self.words(_WORD.findall(text))
+        if self.latin and _LATIN.fullmatch(text) and not any(x in text for x in self.special):
+            return self._lookup(_LATIN_WORD.findall(text.lower()), self._latin_words)
+        return self._lookup([f" {w}" for w in _WORD.findall(text)], lambda new: self._raw_words([w[1:] for w in new]))
 
     def _tokens(self, text: str) -> Tokens:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -246,7 +312,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         codec = _codec(spec.value, unsplit)
         for batch in batches:
             for part in _slices(batch, at):
-                got = [codec.encode(x) for x in text_column(part, text).to_pylist()]
+                got = [codec.encode(x.as_py()) for x in text_column(part, text)]
                 more = [pa.array([codec.decode(x.tolist()) for x in got], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids(got), *more], names=out_names)
 
