@@ -6,8 +6,9 @@ slots is the mask of all languages that contain it. A text is decided by the
 number of its n-grams for each language, corrected for the share of false
 positives that the fill of the language's bit slice implies.
 
-Fitting reads a bounded sample: at most ``sample`` labelled rows in all, the
-same number for each language, those with the least hash of the id. What is
+Fitting reads a bounded sample: at most ``sample`` labelled rows in all, as
+many for each language (four standard deviations less are aimed at), those
+whose id's hash falls below the language's share. What is
 collected is the n-grams of that sample in at least ``least`` rows, at most
 ``top`` a language. Prediction is one pass without a shuffle.
 
@@ -28,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sheaf.llm.words import RUN_BYTES, buffers, mix, text_column
 
@@ -122,6 +122,10 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
     return [(mix(h, k) >> np.uint64(64 - SLOT_BITS)).astype(np.int32) for k in range(HASHES)]
 
 
+def df_of(like: DataFrame, rows: list[tuple[str, float]]) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, "lang string, share double")
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: int = LEAST, top: int = TOP) -> Model:
     """The model of a bounded sample of labelled rows (rows without text or language are left out)."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -130,9 +134,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         return Model.build([], [])
     order = list(known)
     each = max(1, sample // len(order))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("id", "lang").distinct()
-    chosen = rows.join(F.broadcast(ids), ["id", "lang"])  # at most `sample` ids
+    part = [(x, min(1.0, max(1.0, each - 4 * each**0.5) / known[x])) for x in order]
+    share = df_of(labelled, part)
+    unit = (F.xxhash64("id") / F.lit(2.0**64)) + 0.5
+    chosen = rows.join(F.broadcast(share), "lang").where(unit < F.col("share"))  # one row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
