@@ -74,7 +74,7 @@ def repeat_words(words: Column, size: int = WINDOW) -> Column:
     starts = F.sequence(F.lit(0), n_windows - 1)
     hash_at = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])
     mask = (1 << _POSITION_BITS) - 1
-    packed = F.transform(starts, lambda i: F.bitwise_or(hash_at(i).bitwiseAND(F.lit(~mask)), i.cast("long"))) if hasattr(F, "bitwise_or") else F.transform(starts, lambda i: hash_at(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
+    packed = F.transform(starts, lambda i: hash_at(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
     near = _agreeing(F.sort_array(packed), lambda x: F.shiftright(x, _POSITION_BITS))
     position = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
     short = F.transform(near, lambda x: _pair(hash_at(position(x)), position(x)))
