@@ -175,16 +175,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", mode: str = "document", size: int = SIZE, share: float = SHARE, item_id: str = "item_id", item_text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """docs, with the same columns, without contaminated documents (mode "document") or hit words (mode "span").
+    """docs, with the same columns, without contaminated documents (mode "document"), hit words ("span"), or both.
 
-    In mode "span" a cut goes from the first hit word of a range to its last,
-    and what lies between cuts stays as it is; a text without hits is kept.
+    A cut goes from the first hit word of a range to its last, and what lies
+    between cuts stays as it is; a text without hits is kept.
     """
-    if mode not in ("document", "span"):
-        raise ValueError(f"mode must be 'document' or 'span', not {mode!r}")
+    if mode not in ("document", "span", "both"):
+        raise ValueError(f"mode must be 'document', 'span' or 'both', not {mode!r}")
     tagged = _tagged(docs, text, benchmark, size, max_words, item_id, item_text)
+    if mode != "span":
+        tagged = tagged.where(~_report(round(1 / share))[-1])
     if mode == "document":
-        return tagged.where(~_report(round(1 / share))[-1]).drop(HITS)
+        return tagged.drop(HITS)
     raw, cuts = F.encode(F.col(text), "UTF-8"), F.col(f"{HITS}.cuts")
     upto = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.octet_length(F.col(text))))
     since = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["end"]))

@@ -12,7 +12,8 @@ One pass finds the base spans and the terms near them; its rows, without the
 texts, are written to the checkpoint folder. Pairs of entity and term are
 counted after partial sums, so a frequent entity or term is no hot spot. The
 corpus frequency of terms is counted only for those that pass the other
-conditions; where there are none, that count is not run.
+conditions and a bound: the documents where a term is near any entity are at
+least some of those that hold it. Where no term is left, that count is not run.
 
 Positions come from splitting the text at marks set around matches; U+E000 is
 the mark and is read as U+E001 where a text holds it, which no pattern matches.
@@ -45,6 +46,8 @@ PATTERNS = {
 _TERM = r"\p{L}[\p{L}'-]{2,}"
 _MARK, _UNMARK = "", ""
 _BLOCK = 256
+#: Cuts are sent to the texts by broadcast if their counted size is at most this, and by a shuffle join otherwise.
+BROADCAST_BYTES = 16_000_000
 
 
 def _let(value: Column, then) -> Column:
@@ -143,9 +146,13 @@ def _near(text: Column, span: Column) -> Column:
     return F.struct(_entity(span).alias("entity"), F.xxhash64(before, after).alias("context"), terms.alias("terms"))
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row (numbered, without the text) for each document: base spans and what surrounds them. Written out."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), _text_hash(F.col(text)).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     near = F.when(F.size("base") > 0, F.transform("base", lambda s: _near(F.col("text"), s)))
     return stash(rows.withColumn("near", near).drop("text"), "pii")
@@ -155,31 +162,37 @@ def disclosing(base: DataFrame, docs: DataFrame, text: str = "text", share: floa
     """Pairs (entity, term) whose term discloses the entity; None if no pair has enough contexts."""
     seen = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.context", F.explode("n.terms").alias("t")).select("row", "entity", "context", F.col("t.term").alias("term"))
     pairs = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("both")).where(F.col("contexts") >= contexts)
-    pairs = stash(pairs, "pii-pairs")
+    entities = base.where(F.size("near") > 0).select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near_any = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = F.lit(float(base.count()))
+    own = F.log(total / F.col("n_entity"))
+
+    def discloses(n_term: Column) -> Column:
+        given = F.log(total * F.col("both") / (F.col("n_entity") * F.greatest(n_term, F.col("both"))))
+        return (own > 0) & (given >= share * own)
+
+    # A term is in at least as many documents as it is near any entity: most common words end here.
+    pairs = stash(pairs.join(entities, "entity").join(near_any, "term").where(discloses(F.col("n_near"))).select("entity", "term", "both", "n_entity"), "pii-pairs")
     if pairs.isEmpty():
         return None
-    entities = base.where(F.size("near") > 0).select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(base.count()))
-    own = F.log(total / F.col("n_entity"))
-    given = F.log(total * F.col("both") / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("both"))))
-    return pairs.join(entities, "entity").join(terms, "term").where((own > 0) & (given >= share * own)).select("entity", "term")
+    return pairs.join(terms, "term").where(discloses(F.col("n_term"))).select("entity", "term")
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame:
-    """A row for each document: row, doc_id, base and spans (base and terms), sorted arrays of spans."""
+    """A row for each document: row, doc_id, of (a hash of the text), base and spans (base and terms), sorted arrays of spans."""
     base = found(docs, text, doc_id)
     pairs = disclosing(base, docs, text, share, contexts)
     if pairs is None:
-        return base.select("row", "doc_id", "base", F.col("base").alias("spans"))
+        return base.select("row", "doc_id", "of", "base", F.col("base").alias("spans"))
     near = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.entity", F.explode("n.terms").alias("t"))
     more = near.select("row", "entity", F.col("t.term").alias("term"), "t.start", "t.end").join(pairs, ["entity", "term"])
     span = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.col("term").alias("value"))
     added = more.groupBy("row").agg(F.collect_set(span).alias("added"))
     none = F.array().cast(f"array<{_SPAN}>")
     joined = base.join(added, "row", "left")
-    return joined.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce(F.col("added"), none))).alias("spans"))
+    return joined.select("row", "doc_id", "of", "base", F.array_sort(F.concat("base", F.coalesce(F.col("added"), none))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -204,13 +217,15 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names:
     Overlapping spans are cut at the end of the one that starts first.
     """
     general = {k: f"<{k.upper()}>" for k in KINDS} | (names or {})
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-texts")
-    own = spans(rows.drop("row").withColumnRenamed("_row", "row_of_text"), text, "row_of_text")
+    own = spans(docs, text, doc_id)
     zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end"), F.lit(0).alias("upto"))
     step = lambda s, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.greatest(s["upto"], s["end"]).alias("upto"))
-    cuts = own.where(F.size("spans") > 0).select(F.col("doc_id").alias("_of"), F.filter(scan(F.col("spans"), zero, step, _CUT), lambda c: c["end"] > c["upto"]).alias("_cuts"))
+    own = own.where(F.size("spans") > 0).dropDuplicates(["doc_id", "of"])
+    cuts = stash(own.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.filter(scan(F.col("spans"), zero, step, _CUT), lambda c: c["end"] > c["upto"]).alias("_cuts")), "pii-cuts")
+    size = cuts.agg(F.sum(F.size("_cuts") * 24 + 64)).first()[0] or 0
+    side = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
     labels = F.array(*[F.lit(general[k]) for k in KINDS])
-    joined = rows.join(cuts, rows["_row"] == cuts["_of"], "left")
+    joined = docs.join(side, docs[doc_id].eqNullSafe(cuts["_id"]) & (_text_hash(docs[text]) == cuts["_of"]), "left")
     t = F.col(text)
     piece = lambda c: F.concat(F.substring(t, c["upto"] + 1, F.greatest(F.lit(0), c["start"] - c["upto"])), F.get(labels, c["kind"]))
     rest = F.substring(t, F.element_at("_cuts", -1)["end"] + 1, F.length(t))

@@ -259,3 +259,18 @@ def measured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, evidence double, n_words long, score double, matches array<struct<start:int,end:int,weight:double>>")
+
+
+def kept(docs: DataFrame, lexicon: Lexicon, text: str = "text", limit: float = LIMIT) -> DataFrame:
+    """docs, with the same columns, whose score is below the limit."""
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = held.value.automaton()
+        for batch in batches:
+            col = text_column(batch, text)
+            words = np.concatenate([r.counts() for r in runs(col, NOT_SPACE)] or [np.zeros(0, np.int64)])
+            e = np.array([evidence(t.as_py(), machine)[0] for t in col], float)
+            yield batch.filter(pa.array(held.value.score(e, words) < limit, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
