@@ -1,43 +1,8 @@
-"""The queries of this library over the sample tables, and DuckDB SQL for the same rows."""
+"""All queries over the sample tables, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sheaf.plans import aggregates, records, scalars, streams  # noqa: F401  they register their queries
+from sheaf.plans.registry import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL if there is one."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("select l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) as mean_price from lineitem group by l_returnflag, l_linestatus")
-def group_mean_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries"]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,23 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(home.name) / p.relative_to(home)))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one is set only where none is named (tests, one machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sheaf-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the checkpoint folder and read again: its rows are fixed from then on."""
+    spark = df.sparkSession
+    path = f"{scratch(spark).rstrip('/')}/sheaf-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
