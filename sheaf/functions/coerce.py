@@ -26,7 +26,7 @@ def to_int(text: Column) -> Column:
 def float_to_int(x: Column) -> Column:
     """Truncated towards zero, saturated, NaN as 0."""
     inside = F.when(F.isnan(x) | x.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(-9.2e18), F.least(F.lit(9.2e18), x))).cast("bigint")
-    return F.when(x >= 9.223372036854775807e18, F.lit(MAX_LONG)).when(x <= -9.223372036854775808e18, F.lit(MIN_LONG)).otherwise(inside)
+    return F.when(F.isnan(x), F.lit(0).cast("bigint")).when(x >= 9.223372036854775807e18, F.lit(MAX_LONG)).when(x <= -9.223372036854775808e18, F.lit(MIN_LONG)).otherwise(inside)
 
 
 def num_to_text(x: Column) -> Column:
