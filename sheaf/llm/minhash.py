@@ -3,18 +3,21 @@
 1. One pass gives each text's set of word shingles a size, a 128-bit print,
    BANDS band hashes and a signature of BANDS * ROWS bytes. Texts with the same
    set are one node from here on, named by their smallest id.
-2. Nodes of a bucket (equal band hash) are compared with its leader, the node
-   with the smallest id, not with each other. A node is first compared with
-   the leader that it meets in most bands.
+2. Nodes of a bucket (equal band hash) are compared with its leader, not with
+   each other. The leader is the node that shares buckets with most others: in
+   a group of copies the original, or what is closest to it. A node is first
+   compared with the leader that it meets in most bands.
 3. A comparison looks at the signatures batch by batch and gives up as soon as
    the posterior of the similarity (uniform prior) leaves less than MISS for
    its being large enough. Survivors are verified on their full shingle sets.
 4. Components are formed. Only buckets that still hold several components go
-   on: their nodes are compared with the leader, then nodes outside the leader's
-   component with the nodes of other components, but for those pairs that the
-   triangle inequality (Jaccard distance is a metric) rules out by posterior
-   bounds of both similarities to the leader. So no pair of a bucket is left
-   open, and a bucket of n copies costs n comparisons.
+   on: their nodes are compared with the leader exactly. What is left open are
+   pairs of a node outside the leader's component with one of another
+   component. Near the leader, both must share most of the second one's
+   differences from the leader, so they meet in a join on its rarest ones; with
+   a node far from the leader, the triangle inequality (Jaccard distance is a
+   metric) rules pairs out. No pair of a bucket is left open, and a bucket of n
+   copies costs about n comparisons.
 
 A pair with similarity 0.8 shares no bucket with probability
 (1 - 0.8**ROWS)**BANDS, about 1e-7; that and MISS are all that can lose a link.
@@ -37,8 +40,9 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheaf.llm.components import components
 from sheaf.llm.scratch import stash
@@ -47,6 +51,8 @@ from sheaf.llm.words import LOWER_ASCII, NOT_SPACE, Run, mix, range_hashes, runs
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS, BATCH, MISS = 40, 5, 40, 1e-9
 BROADCAST_IDS = 1_000_000
+#: Similarity to a leader from which a node's differences from it are listed.
+NEAR = 0.4
 
 #: Texts in a run and bits of a shingle's hash fill 64 bits.
 _TEXT_BITS = 10
@@ -68,6 +74,16 @@ def shingles(run: Run, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([owner[inside], short]), np.concatenate([w[inside], range_hashes(h, first[short], first[short + 1], 1)])
 
 
+def elements(col: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The sorted shingle set of each text."""
+    for run in runs(col, NOT_SPACE, LOWER_ASCII):
+        owner, h = shingles(run, size)
+        order = np.argsort(owner, kind="stable")
+        at = np.searchsorted(owner[order], np.arange(len(run.first)))
+        for i in range(len(run.first) - 1):
+            yield np.unique(h[order[at[i] : at[i + 1]]])
+
+
 def _prints(col: pa.Array, size: int) -> list[pa.Array]:
     """n, fp, sig, bands of each text."""
     n_texts = len(col)
@@ -181,25 +197,46 @@ class _Search:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
         return joined.mapInArrow(run, f"{schema}, matches long, alive boolean")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), written before, whose shingle sets are similar enough."""
+    def _texts_of(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b), written before, with both texts."""
         ids = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         texts = self.docs.join(_few(ids), "id", "left_semi")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b").select("a", "b", "_a", "_b")
+        return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b").select("a", "b", "_a", "_b")
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b), written before, with their exact similarity, whether it suffices, and what of a differs from b.
+
+        missing and added are the elements of b that a lacks and of a that b
+        lacks; they are left out (null) where the similarity is below NEAR.
+        """
         size, least = self.size, round(self.similarity * 100)
 
-        def elements(col: pa.Array) -> Iterator[np.ndarray]:
-            for run in runs(col, NOT_SPACE, LOWER_ASCII):
-                owner, h = shingles(run, size)
-                order = np.argsort(owner, kind="stable")
-                at = np.searchsorted(owner[order], np.arange(len(run.first)))
-                for i in range(len(run.first) - 1):
-                    yield np.unique(h[order[at[i] : at[i + 1]]])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for x, y in zip(elements(text_column(batch, "_a"), size), elements(text_column(batch, "_b"), size), strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    total = len(x) + len(y) - common
+                    near = common >= NEAR * total
+                    out[0].append(common / max(1, total))
+                    out[1].append(common > 0 and 100 * common >= least * total)
+                    out[2].append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist() if near else None)
+                    out[3].append(np.setdiff1d(x, y, assume_unique=True).view(np.int64).tolist() if near else None)
+                    out[4].append(len(y))
+                kinds = (pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["a", "b", "j", "linked", "missing", "added", "n_leader"])
+
+        return self._texts_of(pairs).mapInArrow(run, f"a {self.kind}, b {self.kind}, j double, linked boolean, missing array<long>, added array<long>, n_leader long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), written before, whose shingle sets are similar enough."""
+        both = self._texts_of(pairs)
+        size, least = self.size, round(self.similarity * 100)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 similar = []
-                for x, y in zip(elements(text_column(batch, "_a")), elements(text_column(batch, "_b")), strict=True):
+                for x, y in zip(elements(text_column(batch, "_a"), size), elements(text_column(batch, "_b"), size), strict=True):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     similar.append(common > 0 and 100 * common >= least * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
@@ -218,12 +255,16 @@ class _Search:
         same = named.select("id", "node").join(same.select("id", "a"), "id").where(F.col("node") != F.col("a")).select(F.col("node").alias("b"), "a").distinct()
 
         rows = nodes.select("id", F.explode("bands").alias("bucket"))
-        leaders = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where(F.col("leader") < F.col("_last")).drop("_last")
-        members = stash(rows.join(leaders, "bucket").select("bucket", "id", "leader"), "members")
+        shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        met = stash(rows.join(shared, "bucket").select("bucket", "id", "n"), "met")
+        central = met.groupBy("id").agg(F.sum("n").alias("weight"))
+        weighed = met.join(central, "id")
+        leaders = weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("leader"))
+        members = stash(met.join(leaders, "bucket").select("bucket", "id", "leader"), "members")
 
         # Each node with the leader it meets most.
         meets = members.where(F.col("id") != F.col("leader")).groupBy("id", "leader").agg(F.count("*").alias("n"))
-        best = meets.groupBy("id").agg(F.max_by("leader", F.struct(F.col("n"), -F.col("leader")) if self.kind in ("bigint", "int") else F.col("n")).alias("b"))
+        best = meets.groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
         first = stash(self.compared(best.select(F.col("id").alias("a"), "b"), nodes).where("alive").select("a", "b"), "pairs")
         links = stash(self.verified(first).unionByName(same), "links")
         component = components(links)
@@ -238,26 +279,62 @@ class _Search:
         head = lambda m: m.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("led"))
         pairs = still.where(F.col("id") != F.col("leader")).join(head(still), "bucket").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.max(F.col("component") != F.col("led")).alias("apart"))
         against = stash(self.compared(pairs, nodes, whole=True), "against")
-        second = stash(against.where(F.col("apart") & F.col("alive")).select("a", "b"), "pairs")
-        if not second.isEmpty():
-            links = stash(links.unionByName(self.verified(second)), "links")
-            component = components(links)
-
-        # Nodes outside the leader's component with nodes of other components.
         table = bounds()
-        low, high = (F.array(*[F.lit(float(x[k])) for x in table]) for k in (0, 1))
-        seen = against.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.get(low, F.col("matches").cast("int")).alias("low"), F.get(high, F.col("matches").cast("int")).alias("high"))
-        now = still.drop("component").join(component, "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("component"))
-        rest = stash(now.where(F.col("id") != F.col("leader")).join(seen, ["id", "leader"]).join(head(now), "bucket"), "rest")
-        outside = rest.where(F.col("component") != F.col("led")).select("bucket", F.col("id").alias("u"), F.col("component").alias("u_component"), F.col("low").alias("u_low"), F.col("high").alias("u_high"))
-        gap = 1 - self.similarity
-        open_ = (F.col("u_component") != F.col("component")) & (F.col("u_high") + gap >= F.col("low")) & (F.col("high") + gap >= F.col("u_low"))
-        left = outside.join(rest, "bucket").where(open_).select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b")).distinct()
+        low, high = (F.get(F.array(*[F.lit(float(x[k])) for x in table]), F.col("matches").cast("int")) for k in (0, 1))
+        maybe = stash(against.where(high >= NEAR).select("a", "b"), "pairs")
+        exact = stash(self.differences(maybe), "differences")
+        new = exact.where("linked").join(against.where("apart"), ["a", "b"], "left_semi").select("a", "b")
+        links = stash(links.unionByName(new), "links")
+        component = components(links)
+
+        # Nodes outside the leader's component (u) with nodes of other components.
+        named_component = component.select(F.col("id"), "component")
+        of = lambda df, node, name: df.join(named_component.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        placed = of(of(exact, "a", "component"), "b", "led")
+        left = self._by_differences(placed).unionByName(self._by_bounds(still, against, exact, of, low, high)).distinct()
         third = stash(self.compared(left, nodes).where("alive").select("a", "b"), "pairs")
         if not third.isEmpty():
             component = components(links.unionByName(self.verified(third)))
         return named, component
 
+    def _by_differences(self, placed: DataFrame) -> DataFrame:
+        """Pairs of nodes near a common leader that can be similar though one of them (u) is not similar to the leader.
+
+        Let u lack r of the leader's n elements and add a, let y lack r' and add
+        a', and s = 1 / (1 + similarity). The two are similar exactly if they
+        share o = w + w' - (2 s - 1) n of these differences or more, where
+        w = s r + (1 - s) a; u, not being similar to the leader, has
+        w > (2 s - 1) n. In one order of all differences, rarest first, the
+        first that both share is among the first (all - o + 1) of either, so
+        pairs meet in a join on it.
+        """
+        near = placed.where(F.col("missing").isNotNull())
+        s = 1 / (1 + self.similarity)
+        weight = s * F.size("missing") + (1 - s) * F.size("added")
+        tagged = F.concat(F.transform("missing", lambda x: F.struct(F.lit(0).alias("side"), x.alias("x"))), F.transform("added", lambda x: F.struct(F.lit(1).alias("side"), x.alias("x"))))
+        size = (F.size("missing") + F.size("added")).alias("size")
+        rows = near.select("a", "b", "component", (F.col("component") != F.col("led")).alias("outside"), weight.alias("w"), (weight - (2 * s - 1) * F.col("n_leader")).alias("lack"), size, F.explode(tagged).alias("d"))
+        rows = stash(rows.select("a", "b", "component", "outside", "w", "lack", "size", "d.side", "d.x"), "elements")
+        often = rows.where("outside").groupBy("b", "side", "x").agg(F.count("*").alias("n"))
+        ranked = rows.join(often, ["b", "side", "x"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(0)), "side", "x")))
+        ranked = stash(ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("w") - 1e-9) + 1) & F.col("n").isNotNull() | F.col("outside")), "ranked")
+        asked = ranked.where("outside").select("b", "side", "x", F.col("a").alias("u"), F.col("component").alias("of_u"), F.col("lack").alias("u_lack"), F.col("size").alias("u_size"), F.col("nth").alias("u_nth"))
+        shared = F.ceil(F.col("w") + F.col("u_lack") - 1e-9)
+        both = (F.col("component") != F.col("of_u")) & (F.col("nth") <= F.col("size") - shared + 1) & (F.col("u_nth") <= F.col("u_size") - shared + 1)
+        met = ranked.select("b", "side", "x", "a", "component", "w", "size", "nth").join(asked, ["b", "side", "x"]).where(both)
+        return met.select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
+
+    def _by_bounds(self, still: DataFrame, against: DataFrame, exact: DataFrame, of, low: Column, high: Column) -> DataFrame:
+        """Pairs of a bucket with a node far from its leader, but for those that the triangle inequality rules out."""
+        known = exact.select("a", "b", "j", F.col("missing").isNotNull().alias("near"))
+        seen = against.select("a", "b", low.alias("low"), high.alias("high")).join(known, ["a", "b"], "left")
+        seen = seen.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.coalesce("j", "low").alias("low"), F.coalesce("j", "high").alias("high"), F.coalesce("near", F.lit(False)).alias("near"))
+        rest = of(still.select("bucket", "id", "leader").join(seen, ["id", "leader"]), "id", "component")
+        far = rest.where(~F.col("near")).select("bucket", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("low").alias("u_low"), F.col("high").alias("u_high"))
+        gap = 1 - self.similarity + 1e-9
+        open_ = (F.col("of_u") != F.col("component")) & (F.col("u_high") + gap >= F.col("low")) & (F.col("high") + gap >= F.col("u_low"))
+        return far.join(rest, "bucket").where(open_).select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b"))
+
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest linked doc_id) and kept (it is that one)."""
