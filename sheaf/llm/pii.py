@@ -175,9 +175,17 @@ def disclosing(base: DataFrame, docs: DataFrame, text: str = "text", share: floa
     pairs = stash(pairs.join(entities, "entity").join(near_any, "term").where(discloses(F.col("n_near"))).select("entity", "term", "both", "n_entity"), "pii-pairs")
     if pairs.isEmpty():
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    return pairs.join(terms, "term").where(discloses(F.col("n_term"))).select("entity", "term")
+
+    def counted(part: DataFrame, terms: DataFrame) -> DataFrame:
+        words = part.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
+        return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+
+    # A count over some of the documents only rejects: what is too frequent there is too frequent in all.
+    some = counted(docs.where(F.pmod(_text_hash(F.col(text)), F.lit(16)) == 0), pairs)
+    pairs = stash(pairs.join(some, "term", "left").where(discloses(F.coalesce("n_term", F.lit(0)))).drop("n_term"), "pii-rare")
+    if pairs.isEmpty():
+        return None
+    return pairs.join(counted(docs, pairs), "term").where(discloses(F.col("n_term"))).select("entity", "term")
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame:
