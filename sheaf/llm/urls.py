@@ -126,18 +126,17 @@ def parts(url: str) -> tuple[str, str]:
     return rest[:end].translate(str.maketrans(_UPPER, _LOWER)), rest[end:stop]
 
 
-def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, steps: int = 400, rate: float = 2.0, ridge: float = 1e-3) -> Model:
-    """Logistic regression by full gradient steps over the labelled URLs."""
+def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, steps: int = 400, rate: float = 2.0, ridge: float = 1e-3, prior: float = -1.5) -> Model:
+    """Logistic regression by full gradient steps over the labelled URLs; prior: the log odds of a URL of which nothing is known."""
     pairs = [parts(u) for u in (*blocked, *allowed)]
     y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
     rows, buckets, values = _features(pa.array([h for h, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string()))
-    w, b = np.zeros(1 << BITS), 0.0
+    w, b = np.zeros(1 << BITS), prior
     for _ in range(steps):
         z = np.bincount(rows, weights=w[buckets] * values, minlength=len(y)) + b
         off = 1 / (1 + np.exp(-z)) - y
         w -= rate * (np.bincount(buckets, weights=off[rows] * values, minlength=len(w)) / len(y) + ridge * w)
-        b -= rate * off.mean()
-    return Model(w, float(b))
+    return Model(w, b)
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: Model | None = None, limit: float = 0.5) -> DataFrame:
