@@ -85,12 +85,51 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": rf"""
+with w as (select doc_id, source, coalesce(text, '') as t, {_SPLIT} as w from documents),
+win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from w, unnest(range(1, len(w) - 1)) as x(i)),
+many as (select doc_id, g from win group by all having count(*) > 1),
+covered as (select doc_id, count(distinct i + o) as n from (select win.doc_id, i from win join many on win.doc_id = many.doc_id and win.g = many.g), range(3) as r(o) group by doc_id),
+lines as (select doc_id, sum(n - 1) as n from (select doc_id, x, count(*) as n from (select doc_id, unnest(string_split(t, chr(10))) as x from w) where regexp_matches(x, '[^\x20\x09-\x0D]') group by all) group by doc_id),
+m as (select w.doc_id, source, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(lines.n, 0) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
+  from w left join lines on w.doc_id = lines.doc_id left join covered on w.doc_id = covered.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+h as (select source, count(*) as docs, sum(base_failed::int) as failed from b group by source),
+p as (select avg(failed / docs) as m, var_pop(failed / docs) - avg(failed / docs) * (1 - avg(failed / docs)) * avg(1 / docs) as v from h),
+k as (select source, (failed + weight * m) / (docs + weight) as rate from h, (select m, case when v > 1e-6 then greatest(1, least(1000, m * (1 - m) / greatest(v, 1e-6) - 1)) else 1000 end as weight from p))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.8 as kept
+from b join k on b.source is not distinct from k.source""",
+    "op8_substring_dedup": rf"""
+with w as (select doc_id, {_SPLIT} as w from documents),
+win as (select doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') as g from w, unnest(range(1, len(w) - 33)) as x(i)),
+many as (select g from win group by g having count(*) > 1),
+covered as (select distinct doc_id, i + o as k from (select doc_id, i from win join many on win.g = many.g), range(35) as r(o)),
+words as (select doc_id, k, w[k] as word from w, unnest(range(1, len(w) + 1)) as x(k)),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.k) as t, count(*) as n from words left join covered on words.doc_id = covered.doc_id and words.k = covered.k where covered.k is null group by words.doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from w left join kept on w.doc_id = kept.doc_id""",
+    "op10_benchmark_decontamination": rf"""
+with w as (select doc_id, {_FOLDED} as w from documents),
+b as (select item_id, {_FOLDED} as w from benchmark),
+items as (select distinct item_id, least(13, len(w)) as n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') as g from b, unnest(range(1, len(w) - least(13, len(w)) + 2)) as x(i) where len(w) > 0),
+sizes as (select distinct n from items),
+win as (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as g from (select * from w, sizes), unnest(range(1, len(w) - n + 2)) as x(i)),
+hits as (select doc_id, i, win.n, cast(item_id as varchar) as item from win join items on win.n = items.n and win.g = items.g),
+covered as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
+found as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from hits) group by doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(covered.n, 0) as bigint) as n_hit, cast(coalesce(found.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+coalesce(covered.n, 0) > 0 and 20 * coalesce(covered.n, 0) >= len(w) as contaminated from w left join covered on w.doc_id = covered.doc_id left join found on w.doc_id = found.doc_id""",
+}
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that are neither learned nor encoded (near-duplicates would need all pairs)."""
     return dict(ORACLES)
-
-
-ORACLES: dict[str, str] = {}
