@@ -137,6 +137,13 @@ def split_blank(spark, sf_dir):
     return df.select("doc_id", F.posexplode(text.split_fields(F.col("text"))).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
 
 
+@query("select doc_id, p as pos, w as word from (select doc_id, unnest(f) as w, generate_subscripts(f, 1) as p from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t]+'), lambda x: x <> '') as f from documents))")
+def split_blank_all(spark, sf_dir):
+    """The words of every document; split_blank and its SQL keep those with doc_id < 50."""
+    df = _docs(spark, sf_dir)
+    return df.select("doc_id", F.posexplode(text.split_fields(F.col("text"))).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
+
+
 @query("select c_custkey, regexp_split_to_array(c_name, '#0*')[1] as a, regexp_split_to_array(c_name, '#0*')[2] as b from customer")
 def split_regex(spark, sf_dir):
     f = text.split_fields(F.col("c_name"), "#0*")
