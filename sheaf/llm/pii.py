@@ -1,26 +1,26 @@
 """Personal data: base patterns, then information-theoretic sanitisation, with DataFrame functions only.
 
 Base patterns find emails, IPv4 addresses, card numbers and phone numbers. The
-values found are the protected entities. A term near an entity discloses it as
-far as it is informative about it: with document frequencies over the corpus,
-the pointwise mutual information of term and entity as a share of the entity's
-information content. Terms whose share exceeds a threshold, with enough
-different contexts to rest on, are added as spans of kind "term"; sanitising
-replaces spans by the general name of their kind, or removes them.
-
-One pass finds the base spans and the terms near them; its rows, without the
-texts, are written to the checkpoint folder. Pairs of entity and term are
-counted after partial sums, so a frequent entity or term is no hot spot. The
-corpus frequency of terms is counted only for those that pass the other
-conditions and a bound: the documents where a term is near any entity are at
-least some of those that hold it. Where no term is left, that count is not run.
+values found are the protected entities. A term discloses an entity as far as it
+is informative about it: with frequencies of distinct texts over the corpus, the
+pointwise mutual information of term and entity, wherever the two stand in a
+text, as a share of the entity's information content. Every occurrence of a term
+whose share reaches a threshold for some entity is added as a span of kind
+"term", in all documents; sanitising replaces spans by the general name of their
+kind, or removes them. Terms are looked for outside of base spans.
+
+One pass finds the base spans and distinct terms; its rows, without the texts,
+are written to the checkpoint folder. Terms, and pairs of entity and term, are
+counted after partial sums. Pairs are rejected by a bound that needs no count of
+their entity before they meet that count. Places of terms are looked up only in
+the texts that hold one that discloses.
 
 Positions come from splitting the text at marks set around matches; U+E000 is
 the mark and is read as U+E001 where a text holds it, which no pattern matches.
 
 Defined results: null text has no spans; repeated rows are handled each by
-itself, but equal contexts of an entity count once, so copies of a document
-disclose nothing by their number; other columns are carried along by sanitise.
+itself, but equal texts count once, so copies of a document disclose nothing by
+their number; other columns are carried along by sanitise.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from sheaf.llm.scratch import stash
 
 #: Kinds in the order of equal starts.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters on either side of an entity in which terms are looked for; the share of an entity's information that a term may give; different contexts that must show it.
-REACH, DISCLOSURE, CONTEXTS = 48, 0.8, 3
+#: The share of an entity's information that a term may give; different texts that must show it.
+DISCLOSURE, CONTEXTS = 0.8, 3
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: A match starts where a run of its first class does, or where the last match ended: the same matches as without that condition, in linear time.
@@ -46,7 +46,7 @@ PATTERNS = {
 _TERM = r"\p{L}[\p{L}'-]{2,}"
 _MARK, _UNMARK = "\ue000", "\ue001"
 _BLOCK = 256
-#: Cuts are sent to the texts by broadcast if their counted size is at most this, and by a shuffle join otherwise.
+#: Tables are sent to the texts by broadcast if their counted size is at most this, and by a shuffle join otherwise.
 BROADCAST_BYTES = 16_000_000
 
 
@@ -134,16 +134,24 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), own)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """What surrounds a span: entity, the context, and the whole terms in it with their places."""
-    begin = F.greatest(F.lit(0), span["start"] - REACH)
-    before = F.substring(text, begin + 1, span["start"] - begin)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    left = F.filter(occurrences(before, _TERM), lambda x: (x["start"] > 0) | (begin == 0))
-    right = F.filter(occurrences(after, _TERM), lambda x: x["end"] < REACH)
-    at = lambda x, by: F.struct(F.lower(x["value"]).alias("term"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"))
-    terms = F.concat(F.transform(left, lambda x: at(x, begin)), F.transform(right, lambda x: at(x, span["end"])))
-    return F.struct(_entity(span).alias("entity"), F.xxhash64(before, after).alias("context"), terms.alias("terms"))
+_CUT = "struct<start:int,kind:int,end:int,upto:int>"
+
+
+def _cuts(spans: Column) -> Column:
+    """Spans, each with the end of those before it, without those that are inside of earlier ones."""
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end"), F.lit(0).alias("upto"))
+    step = lambda s, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.greatest(s["upto"], s["end"]).alias("upto"))
+    return F.filter(scan(spans, zero, step, _CUT), lambda c: c["end"] > c["upto"])
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """text with blanks for its base spans, so that places stay."""
+
+    def blanked(cuts):
+        piece = lambda c: F.concat(F.substring(text, c["upto"] + 1, F.greatest(F.lit(0), c["start"] - c["upto"])), F.repeat(F.lit(" "), c["end"] - F.greatest(c["start"], c["upto"])))
+        return F.concat(F.array_join(F.transform(cuts, piece), ""), F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text)))
+
+    return F.when(F.size(base) == 0, text).otherwise(_let(_cuts(base), blanked))
 
 
 def _text_hash(text: Column) -> Column:
@@ -151,55 +159,75 @@ def _text_hash(text: Column) -> Column:
 
 
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row (numbered, without the text) for each document: base spans and what surrounds them. Written out."""
+    """A row (numbered, without the text) for each document: base spans, and its distinct entities and terms. Written out."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("outside", F.lit(_TERM), F.lit(0)), F.lower))
+    entities = F.array_distinct(F.transform("base", _entity))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), _text_hash(F.col(text)).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, F.transform("base", lambda s: _near(F.col("text"), s)))
-    return stash(rows.withColumn("near", near).drop("text"), "pii")
-
-
-def disclosing(base: DataFrame, docs: DataFrame, text: str = "text", share: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame | None:
-    """Pairs (entity, term) whose term discloses the entity; None if no pair has enough contexts."""
-    seen = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.context", F.explode("n.terms").alias("t")).select("row", "entity", "context", F.col("t.term").alias("term"))
-    pairs = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("both")).where(F.col("contexts") >= contexts)
-    entities = base.where(F.size("near") > 0).select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near_any = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    total = F.lit(float(base.count()))
-    own = F.log(total / F.col("n_entity"))
-
-    def discloses(n_term: Column) -> Column:
-        given = F.log(total * F.col("both") / (F.col("n_entity") * F.greatest(n_term, F.col("both"))))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("outside", _outside(F.col("text"), F.col("base")))
+    return stash(rows.select("row", "doc_id", "of", "base", entities.alias("entities"), terms.alias("terms")), "pii")
+
+
+def _once(base: DataFrame) -> DataFrame:
+    """One row for each distinct text."""
+    copied = stash(base.groupBy("of").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("of", "first"), "pii-copied")
+    side = F.broadcast(copied) if copied.count() * 24 <= BROADCAST_BYTES else copied
+    return base.select("row", "of", "entities", "terms").join(side, "of", "left").where(F.col("first").isNull() | (F.col("first") == F.col("row")))
+
+
+def disclosing(base: DataFrame, share: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame:
+    """Pairs (entity, term) whose term discloses the entity. Written out."""
+    once = _once(base)
+    total = F.lit(float(base.select("of").distinct().count()))
+    held = once.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "terms")
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= contexts)
+    terms = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+
+    def discloses(n_entity: Column) -> Column:
+        own = F.log(total / n_entity)
+        given = F.log(total * F.col("both") / (n_entity * F.col("n_term")))
         return (own > 0) & (given >= share * own)
 
-    # A term is in at least as many documents as it is near any entity: most common words end here.
-    pairs = stash(pairs.join(entities, "entity").join(near_any, "term").where(discloses(F.col("n_near"))).select("entity", "term", "both", "n_entity"), "pii-pairs")
-    if pairs.isEmpty():
-        return None
+    # The share is largest for an entity that is in no other texts than those with the term: most pairs end here.
+    pairs = pairs.join(terms, "term").where(discloses(F.col("both")))
+    return stash(pairs.join(entities, "entity").where(discloses(F.col("n_entity"))).select("entity", "term"), "pii-pairs")
+
+
+def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumn("_hash", F.xxhash64(*keys))
+
+
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to a written table on equal keys, nulls too; a broadcast of the table's hashes, if they are few, thins rows first."""
+    if table.count() * 16 <= BROADCAST_BYTES:
+        hashes = _hashed(table.select(*keys), keys).select("_hash").distinct()
+        rows = _hashed(rows, keys).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    return _null_safe(rows, table, keys, "inner")
 
-    def counted(part: DataFrame, terms: DataFrame) -> DataFrame:
-        words = part.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
-        return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
-    # A count over some of the documents only rejects: what is too frequent there is too frequent in all.
-    some = counted(docs.where(F.pmod(_text_hash(F.col(text)), F.lit(16)) == 0), pairs)
-    pairs = stash(pairs.join(some, "term", "left").where(discloses(F.coalesce("n_term", F.lit(0)))).drop("n_term"), "pii-rare")
-    if pairs.isEmpty():
-        return None
-    return pairs.join(counted(docs, pairs), "term").where(discloses(F.col("n_term"))).select("entity", "term")
+def _null_safe(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    side = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(side, same, how).drop(*[f"_{k}" for k in keys])
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame:
     """A row for each document: row, doc_id, of (a hash of the text), base and spans (base and terms), sorted arrays of spans."""
     base = found(docs, text, doc_id)
-    pairs = disclosing(base, docs, text, share, contexts)
-    if pairs is None:
-        return base.select("row", "doc_id", "of", "base", F.col("base").alias("spans"))
-    near = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.entity", F.explode("n.terms").alias("t"))
-    more = near.select("row", "entity", F.col("t.term").alias("term"), "t.start", "t.end").join(pairs, ["entity", "term"])
-    span = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.col("term").alias("value"))
-    added = more.groupBy("row").agg(F.collect_set(span).alias("added"))
+    terms = stash(disclosing(base, share, contexts).select("term").distinct(), "pii-terms")
+    own = base.select("row", "doc_id", "of", "base")
+    if terms.isEmpty():
+        return own.withColumn("spans", F.col("base"))
+    hits = _meet(base.select("doc_id", "of", F.explode("terms").alias("term")), terms, ["term"])
+    hits = stash(hits.groupBy("doc_id", "of").agg(F.collect_set("term").alias("hit")), "pii-hits")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("of", _text_hash(F.col("text")))
+    texts = _meet(texts, hits, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
+    texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
+    places = F.filter(occurrences(_outside(F.col("text"), F.col("base")), _TERM), lambda x: F.array_contains("hit", F.lower(x["value"])))
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.lower(x["value"]).alias("value"))
+    added = stash(texts.select("doc_id", "of", F.transform(places, span).alias("added")), "pii-added")
     none = F.array().cast(f"array<{_SPAN}>")
-    joined = base.join(added, "row", "left")
+    joined = _null_safe(own, added, ["doc_id", "of"], "left")
     return joined.select("row", "doc_id", "of", "base", F.array_sort(F.concat("base", F.coalesce(F.col("added"), none))).alias("spans"))
 
 
@@ -216,9 +244,6 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return own.select("doc_id", *[count(k) for k in range(4)], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), count(4))
 
 
-_CUT = "struct<start:int,kind:int,end:int,upto:int>"
-
-
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names: dict[str, str] | None = None) -> DataFrame:
     """docs, with the same columns, with each span of its text generalised to its kind (names: other texts for kinds, "" removes).
 
@@ -226,10 +251,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names:
     """
     general = {k: f"<{k.upper()}>" for k in KINDS} | (names or {})
     own = spans(docs, text, doc_id)
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end"), F.lit(0).alias("upto"))
-    step = lambda s, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.greatest(s["upto"], s["end"]).alias("upto"))
     own = own.where(F.size("spans") > 0).dropDuplicates(["doc_id", "of"])
-    cuts = stash(own.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.filter(scan(F.col("spans"), zero, step, _CUT), lambda c: c["end"] > c["upto"]).alias("_cuts")), "pii-cuts")
+    cuts = stash(own.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), _cuts(F.col("spans")).alias("_cuts")), "pii-cuts")
     size = cuts.agg(F.sum(F.size("_cuts") * 24 + 64)).first()[0] or 0
     side = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
     labels = F.array(*[F.lit(general[k]) for k in KINDS])

@@ -191,6 +191,22 @@ def test_disclosing_terms_and_sanitising(spark):
     assert pii.sanitise(d.limit(0)).count() == 0
 
 
+def test_disclosing_terms_are_found_and_marked_in_whole_texts(spark):
+    """A name 60 characters from the email it always occurs with, and once more in a text without the email."""
+    far = " ".join(["plain"] * 10)
+    rows = [(i, f"memo {i} Zorblatt {far} secret@corp.example.com {far} and zorblatt, secret") for i in range(6)]
+    rows += [(50, "a memo about Zorblatt alone"), (51, None), (None, "no id but zorblatt"), (52, "memo")]
+    rows += [(100 + i, f"memo {i} plain text and nothing but secret") for i in range(600)]
+    d = odd(spark, rows)
+    got = {r.doc_id: r for r in pii.report(d).collect()}
+    at = [dict(rows)[1].index("Zorblatt"), dict(rows)[1].index("zorblatt")]
+    assert [x for x in got[1].spans.split(",") if x.startswith("term")] == [f"term:{a}:{a + 8}" for a in at]
+    assert got[50].spans == "term:13:21" and got[None].spans == "term:10:18" and got[51].spans == ""
+    out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert out[50] == "a memo about <TERM> alone" and out[100] == dict(rows)[100]
+    assert out[1] == f"memo 1 <TERM> {far} <EMAIL> {far} and <TERM>, secret"
+
+
 # 7
 
 
