@@ -1,6 +1,7 @@
 """Each operation against its plain version or held-out labels, with nulls, empty tables, repeats and clashing columns."""
 
 import random
+import re
 import sys
 from math import log
 from pathlib import Path
@@ -207,6 +208,29 @@ def test_disclosing_terms_are_found_and_marked_in_whole_texts(spark):
     assert out[1] == f"memo 1 <TERM> {far} <EMAIL> {far} and <TERM>, secret"
 
 
+def test_terms_of_rare_entities_are_found_by_the_lower_bound(spark):
+    """All pairs against a plain count: entities of one and two texts, copies that count once, and the bound by hand."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["plain", "memo", "text", "about"]) for _ in range(6)) + f" {i}") for i in range(1500)]
+    rows += [(2000, "Quibblethorpe wrote a memo as one@corp.example"), (2001, "Quibblethorpe wrote a memo as one@corp.example")]
+    rows += [(2002 + i, f"Xanthomere memo {i} from two@corp.example") for i in range(2)] + [(2010 + i, f"wrote plain {i}") for i in range(9)]
+    texts = {t: set(re.findall(r"[^\W\d_]{3,}", t.lower().split("@")[0].rsplit(" ", 1)[0] if "@" in t else t.lower())) for _, t in rows}
+    n, want, z2 = len(texts), set(), 1.645**2
+    for entity in ("one@corp.example", "two@corp.example"):
+        held = [w for t, w in texts.items() if entity in t]
+        for term in set().union(*held):
+            both, n_term = sum(term in w for w in held), sum(term in w for w in texts.values())
+            p = (both + z2 / 2 - 1.645 * (both * (n_term - both) / n_term + z2 / 4) ** 0.5) / (n_term + z2)
+            if 1 + log(p) / log(n / len(held)) >= 0.8:
+                want.add((f"0:{entity}", term))
+    assert {t for _, t in want} == {"quibblethorpe", "xanthomere", "from"}
+    d = odd(spark, rows)
+    assert {tuple(r) for r in pii.disclosing(pii.found(d)).select("entity", "term").collect()} == want
+    out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert out[2000] == out[2001] == "<TERM> wrote a memo as <EMAIL>"
+    assert out[2010] == dict(rows)[2010]
+
+
 # 7
 
 
