@@ -11,8 +11,8 @@ once for each block; hits of all blocks are united per document.
 
 Defined results: a null or empty text has no words, is never contaminated
 and has no items; an item without words never occurs; repeated items and
-repeated rows count each on their own; item_id may be of any type and null
-ids are skipped; other columns are carried along by the cleaning functions.
+repeated rows count each on their own; item_id may be of any type, and items with
+a null id count as one item that is in no list of ids; other columns are carried along by the cleaning functions.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, max_words: int) ->
     """The items in blocks of at most max_words words (an item longer than that is a block of its own)."""
     out: list[list[tuple[str, str]]] = []
     words = 0
-    for x in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
+    for x in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         n = len(x[1]) // 2 + 1
         if not out or words + n > max_words:
             out.append([])
@@ -147,7 +147,7 @@ def _tagged(docs: DataFrame, text: str, benchmark: DataFrame, size: int, max_wor
                     if earlier:
                         ids = ids | set(earlier[i]["item_ids"])
                         ranges = union([*ranges, *((x["start"], x["end"]) for x in earlier[i]["spans"])])
-                    hits.append({"n_words": n, "item_ids": sorted(ids), "spans": _pairs(ranges), "cuts": _pairs([(int(start[a]), int(end[b - 1])) for a, b in ranges])})
+                    hits.append({"n_words": n, "item_ids": sorted(ids, key=lambda x: (x is None, x or "")), "spans": _pairs(ranges), "cuts": _pairs([(int(start[a]), int(end[b - 1])) for a, b in ranges])})
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(hits, _HITS_TYPE)], names=names)
 
         out = out.mapInArrow(run, schema)

@@ -320,6 +320,16 @@ def test_contamination(spark, docs, max_words):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == plain.contamination(rows, items)
 
 
+@pytest.mark.parametrize("max_words", [5_000_000, 1])
+def test_items_without_an_id_are_searched_for(spark, max_words):
+    """They count as one item, as in the SQL, and are not in the list of ids."""
+    held = spark.createDataFrame([(None, "one two"), (7, "three four"), (None, "five six")], "item_id long, text string")
+    d = odd(spark, [(1, "one two and three four"), (2, "five six one two"), (3, "none")])
+    got = decontaminate.contamination(d, held, max_words=max_words).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == {1: (4, 2, plain.sha("7"), True), 2: (4, 1, plain.sha(""), True), 3: (0, 0, plain.sha(""), False)}
+    assert {r.doc_id for r in decontaminate.decontaminated(d, held, mode="document", max_words=max_words).collect()} == {3}
+
+
 def test_decontaminated_modes(spark):
     item = " ".join(f"b{i}" for i in range(14))
     rows = [(1, f"start, {item}! end"), (2, "clean text"), (3, " ".join(f"w{i}" for i in range(600)) + f" é {item} tail"), (4, None)]
