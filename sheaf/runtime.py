@@ -27,12 +27,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where none is named (tests, one machine)."""
+    """The session's checkpoint folder; a local one is set only where none is named and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sheaf-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
