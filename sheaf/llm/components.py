@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.scratch import stash
+from sheaf.llm.scratch import discard, stash
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -41,5 +41,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+        before, last = now, e
         e = stash(_small_star(_large_star(e)), "edges")
+        discard(last)

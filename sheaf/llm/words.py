@@ -49,6 +49,11 @@ class _Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def forget(self, beyond: int) -> None:
+        """Drop tables that a text longer than usual made large."""
+        if len(self.up) > beyond:
+            self.up, self.down = self.up[:1].copy(), self.down[:1].copy()
+
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)
@@ -60,6 +65,11 @@ class _Powers:
 _byte_powers, _word_powers = _Powers(BASE), _Powers(0xD1342543DE82EF97)
 
 
+def forget() -> None:
+    for powers in (_byte_powers, _word_powers):
+        powers.forget(4 * RUN_BYTES)
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64 finaliser)."""
     h = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & _M64)
