@@ -1,9 +1,14 @@
 """Host-level quality rules, with DataFrame functions only.
 
-Each document is measured by itself; failures of the base rules are counted by
-host, each host's failure rate is shrunk towards the rate of all hosts by a
-beta prior fitted to the hosts' rates (method of moments), and the verdict on
-the host is joined back to its documents.
+Each document is measured by itself and fails or passes each of RULES: the base
+rules (too short, or repeating itself), a share of symbols, and lines that equal
+earlier ones. Failures are counted by host and rule. For each rule a beta prior
+is fitted to the hosts' rates (method of moments), which shrinks the rate of a
+host the more the fewer documents it has. A host is rejected if, for some rule,
+its rate is, SURE posterior standard deviations below the shrunk mean, still
+more than halfway from the prior's mean to failing always. So a host is judged
+against what hosts are like, and a few documents reject no host. The verdict is
+joined back to the host's documents: all of them go.
 
 Measuring is one pass without a shuffle whose rows, without the texts, are
 written to the checkpoint folder, as both the counts and the result need them.
@@ -11,28 +16,36 @@ Counts are summed before the shuffle, so a host with most of all documents is
 no heavier than any other; the join back is on the hosts' table, which Spark
 broadcasts only if it is small and otherwise splits where a host is too large.
 
-Repeated windows are found by sorting packed 64-bit values (hash above,
-position below) and those that agree are compared by their full 64-bit hashes.
+Repeated windows are found by sorting packed 64-bit values (33 bits of a hash
+above, position below) and those that agree are compared by their full 64-bit
+hashes; a text of any length that Spark holds is packed the same way.
 
 Defined results: null text has no words and fails; a null host is a host of
-its own; repeated rows are documents of their own; other columns are not read.
+its own; repeated rows are documents of their own; an empty table gives an empty
+table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import place, plainly
 from sheaf.llm.scratch import stash
 
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
-#: A host is rejected if its shrunk failure rate is over this.
-HOST_LIMIT = 0.8
+#: The part of the way from the prior's mean to 1 over which a host's rate is too high, and how sure that must be, in standard deviations.
+PART, SURE = 0.5, 3.0
+#: Symbols for a hundred characters of words, and words for each line that equals an earlier one.
+SYMBOL_PERCENT, WORDS_A_REPEATED_LINE = 10, 20
+RULES = ("base", "symbols", "lines")
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-#: Bits of a packed value that hold the position; longer texts are compared without packing.
-_POSITION_BITS = 21
+#: Bits of a packed value that hold the position.
+_POSITION_BITS = 31
 
 
 def _let(value: Column, then) -> Column:
@@ -77,9 +90,7 @@ def repeat_words(words: Column, size: int = WINDOW) -> Column:
     packed = F.transform(starts, lambda i: hash_at(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
     near = _agreeing(F.sort_array(packed), lambda x: F.shiftright(x, _POSITION_BITS))
     position = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-    short = F.transform(near, lambda x: _pair(hash_at(position(x)), position(x)))
-    all_of = F.transform(starts, lambda i: _pair(hash_at(i), i))
-    pairs = F.when(n_windows > mask, all_of).otherwise(short)
+    pairs = F.transform(near, lambda x: _pair(hash_at(position(x)), position(x)))
     found = F.sort_array(F.transform(_agreeing(F.array_sort(pairs), lambda x: x["h"]), lambda x: x["at"]))
     covered = F.aggregate(
         found,
@@ -112,27 +123,48 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_words")
 
 
-def host_rates(measured: DataFrame, host: str = "host") -> DataFrame:
-    """A row for each host: docs, failed, and the failure rate shrunk by the fitted beta prior.
+def failures() -> dict[str, Column]:
+    """Whether a measured document fails each rule."""
+    return {
+        "base": F.col("base_failed"),
+        "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars"),
+        "lines": WORDS_A_REPEATED_LINE * F.col("n_dup_lines") > F.col("n_words"),
+    }
+
+
+def host_rates(measured: DataFrame, host: str = "host", part: float = PART, sure: float = SURE) -> DataFrame:
+    """A row for each host: docs, for each rule the failures and the rate shrunk by the rule's beta prior, and rejected.
 
     With rates r_h of hosts of n_h documents: mean m and variance v over hosts,
     less the mean sampling variance m(1 - m)/n_h, give the prior's weight
     m(1 - m)/v - 1, at least 1 (and 1000 where the hosts do not differ).
     """
-    hosts = measured.groupBy(host).agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("docs")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("docs")).alias("inverse"))
-    m = F.col("m")
-    between = F.col("v") - m * (1 - m) * F.col("inverse")
-    weight = F.when(between > 1e-6, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / F.greatest(between, F.lit(1e-6)) - 1))).otherwise(1000.0)
-    prior = moments.select(m.alias("m"), weight.alias("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("rate", (F.col("failed") + F.col("weight") * F.col("m")) / (F.col("docs") + F.col("weight"))).drop("m", "weight")
-
-
-def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """A row for each document: doc_id, the measures, base_failed, host_rate and kept."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    hosts = measured.groupBy(host).agg(F.count("*").alias("docs"), *[F.sum(c.cast("long")).alias(f"failed_{r}") for r, c in failures().items()])
+    rate = lambda r: F.col(f"failed_{r}") / F.col("docs")
+    inverse = F.avg(1 / F.col("docs")).alias("inverse")
+    prior = hosts.agg(inverse, *[f(rate(r)).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop))])
+    for r in RULES:
+        m = F.col(f"m_{r}")
+        spread = m * (1 - m)
+        between = F.col(f"v_{r}") - spread * F.col("inverse")
+        weight = F.when(between > 1e-6, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), spread / F.greatest(between, F.lit(1e-6)) - 1))).otherwise(1000.0)
+        prior = prior.withColumn(f"w_{r}", weight)
+        prior = prior.withColumn(f"limit_{r}", m + part * (1 - m))
+    out = hosts.crossJoin(F.broadcast(prior))  # one row
+    over = []
+    for r in RULES:
+        n = F.col("docs") + F.col(f"w_{r}")
+        out = out.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.col(f"w_{r}") * F.col(f"m_{r}")) / n)
+        p = F.col(f"rate_{r}")
+        over.append(p - sure * F.sqrt(p * (1 - p) / (n + 1)) > F.col(f"limit_{r}"))
+    return out.select(host, "docs", *[f"{k}_{r}" for r in RULES for k in ("failed", "rate")], reduce(lambda a, b: a | b, over).alias("rejected"))
+
+
+def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", part: float = PART, sure: float = SURE) -> DataFrame:
+    """A row for each document: doc_id, the measures, base_failed, host_rejected and kept."""
+    named, names = plainly(docs)
+    rows = named.select(*[F.col(place(names, c)).alias(a) for c, a in ((doc_id, "doc_id"), (host, "host"), (text, "text"))])
     measured = stash(measure(rows).drop("text"), "quality")
-    hosts = host_rates(measured).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["_host"]), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= limit))
+    hosts = host_rates(measured, part=part, sure=sure).select(F.col("host").alias("of_host"), F.col("rejected").alias("host_rejected"))
+    joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["of_host"]), "left").drop("of_host")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

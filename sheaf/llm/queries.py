@@ -99,11 +99,14 @@ m as (select w.doc_id, source, cast(len(w) as bigint) as n_words, cast(length(re
   cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(lines.n, 0) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
   from w left join lines on w.doc_id = lines.doc_id left join covered on w.doc_id = covered.doc_id),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-h as (select source, count(*) as docs, sum(base_failed::int) as failed from b group by source),
-p as (select avg(failed / docs) as m, var_pop(failed / docs) - avg(failed / docs) * (1 - avg(failed / docs)) * avg(1 / docs) as v from h),
-k as (select source, (failed + weight * m) / (docs + weight) as rate from h, (select m, case when v > 1e-6 then greatest(1, least(1000, m * (1 - m) / greatest(v, 1e-6) - 1)) else 1000 end as weight from p))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.8 as kept
-from b join k on b.source is not distinct from k.source""",
+r as (select doc_id, source, rule, failed from (select *, base_failed as base, 100 * n_symbols > 10 * word_chars as symbols, 20 * n_dup_lines > n_words as lines from b) unpivot (failed for rule in (base, symbols, lines))),
+h as (select source, rule, count(*) as docs, sum(failed::int) as failed from r group by all),
+p as (select rule, avg(failed / docs) as m, var_pop(failed / docs) - avg(failed / docs) * (1 - avg(failed / docs)) * avg(1 / docs) as v from h group by rule),
+k as (select *, case when v > 1e-6 then greatest(1, least(1000, m * (1 - m) / greatest(v, 1e-6) - 1)) else 1000 end as weight from p),
+l as (select source, docs + weight as n, (failed + weight * m) / (docs + weight) as rate, m + 0.5 * (1 - m) as most from h join k on h.rule = k.rule),
+x as (select source, bool_or(rate - 3 * sqrt(rate * (1 - rate) / (n + 1)) > most) as rejected from l group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept
+from b join x on b.source is not distinct from x.source""",
     "op8_substring_dedup": rf"""
 with w as (select doc_id, {_SPLIT} as w from documents),
 win as (select doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') as g from w, unnest(range(1, len(w) - 33)) as x(i)),
