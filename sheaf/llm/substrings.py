@@ -1,39 +1,48 @@
 """Exact removal of repeated passages: a compacted de Bruijn graph of token k-mers.
 
-An edge of the graph is a window of SIZE consecutive words (from its first
-SIZE - 1 words to its last). Consecutive windows of a text that share their
-minimiser, the window's k-mer of ANCHOR words with the least hash, are one path
-piece: within it the graph does not branch for this text, and equal windows of
-other texts have the same minimiser at the same place. So the graph is never
-written edge by edge, but piece by piece:
-
-1. A pass over the texts gives the pieces (minimiser, content hash, place).
-   Pieces equal within a batch are summed there.
-2. A join on the minimiser drops pieces that no other text touches; pieces with
-   equal content are repeated as a whole, all their windows at once.
-3. Where a minimiser has several contents the paths branch. Only there one
-   source place of each content is read again and its windows are compared
-   singly.
-4. The places found are glued to maximal spans by source coordinates, and the
-   covered words are removed.
-
-A piece is identified by the hashes of its minimiser and its content (128 bits
-in all), a window by those of its minimiser and its words.
-
-Joins are on keys with one row on one side, which Spark splits where a key is
-hot, and a content occurs in a join once a batch at most. Spans are sent to the
-texts by broadcast only if their counted size is at most BROADCAST_BYTES, and
-by a shuffle join otherwise.
+An edge of the graph is a window of SIZE consecutive words, from the node of its
+first SIZE - 1 words to that of its last. Only edges that the corpus holds more
+than once matter, and those are found without listing all edges:
+
+1. Texts are numbered and written. A pass over them gives pieces: runs of
+   consecutive windows of a text that share their minimiser, the window's k-mer
+   of ANCHOR words with the least hash. Equal windows have the same minimiser
+   at the same place, so a piece (minimiser, content) is a path that is already
+   compacted as far as one text shows. Pieces equal within a batch are summed.
+2. Minimisers found more than once stay. A content found more than once is a
+   repeated path; where a minimiser has several contents, paths branch inside
+   of pieces, and the windows of each content are compared singly.
+3. One source place of each of these contents is read again. It gives the end
+   nodes of a path, its first and last edge, and a digest of its words.
+4. Compaction. Spark aggregates the edges that lead into and out of each end
+   node. Where one edge comes in and one goes out, the paths that meet are one:
+   along their source text by place, and between sources by a join on the node,
+   after which connected paths get one name (alternating stars).
+5. Source coordinates verify: each occurrence is read in its own text, and its
+   words must have the digest of the words at the source. Verified occurrences
+   are glued to maximal spans, each with the name of its path, and the words
+   they cover are removed.
+
+Pieces and windows are found by 128 bits of hashes and verified by 128 bits of
+BLAKE2b over their words (64 for single windows). A passage would be missed
+only if the hashes of different passages collided; none is removed for it.
+
+Joins are on keys with one row on one side, both sides written tables where a
+key can be hot, so that Spark splits them; a content occurs in a join once a
+batch at most. Tables are broadcast only if their counted size is at most
+BROADCAST_BYTES; otherwise the same join is a shuffle.
 
 Defined results: null and empty texts have no words; a text shorter than a
 window loses nothing; all copies of a passage lose it, the first as well; rows
-that repeat a doc_id, or have none, are texts of their own; other columns are
-carried along.
+that repeat a doc_id, or have none, are texts of their own; an empty table gives
+an empty table; texts may be of any length; other columns, whatever their names,
+are carried along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +50,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.scratch import stash
-from sheaf.llm.words import NOT_SPACE, mix, range_hashes, runs, text_column, window_hashes
+from sheaf.llm.batches import ddl, mapped, place, plainly
+from sheaf.llm.components import components
+from sheaf.llm.scratch import discard, stash
+from sheaf.llm.words import NOT_SPACE, Run, mix, range_hashes, runs, text_column, window_hashes
 
 SIZE, ANCHOR = 35, 8
-BROADCAST_BYTES, BROADCAST_IDS = 16_000_000, 1_000_000
+BROADCAST_BYTES = 16_000_000
 
-#: A place packs 26 bits of a hash of the text, its first word and the number of windows less one.
-_WINDOW_BITS, _WORD_BITS, _TEXT_BITS = 6, 31, 26
+#: A place packs its first word and the number of windows less one.
+_WINDOW_BITS = 6
 #: Windows whose minimisers are sought at once.
 _BLOCK = 1 << 22
 _AT_BITS = 24
+#: Salt of the hashes of nodes.
+_NODE = 5
 
 
 def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -84,22 +97,14 @@ def pieces(h: np.ndarray, first: np.ndarray, size: int, anchor: int) -> tuple[np
     return grams[at[new]], range_hashes(h, start, start + n + size - 1, 3), owner[start], start, n
 
 
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
-
-
 def _begin(at: Column) -> Column:
-    return F.shiftright(at, _WINDOW_BITS).bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
+    return F.shiftright(at, _WINDOW_BITS).cast("int")
 
 
 def _windows(at: Column) -> Column:
     return (at.bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1)) + 1).cast("int")
 
 
-def _of_text(at: Column) -> Column:
-    return F.shiftrightunsigned(at, _WINDOW_BITS + _WORD_BITS)
-
-
 def _glued(ranges: np.ndarray) -> np.ndarray:
     """Sorted [start, end) rows, merged where they touch or overlap."""
     if not len(ranges):
@@ -110,25 +115,42 @@ def _glued(ranges: np.ndarray) -> np.ndarray:
     return np.stack([r[new, 0], upto[np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)]], axis=1)
 
 
+def _split(run: Run, d: int) -> list[bytes]:
+    """The words of text d of a run."""
+    return run.buf[run.text_at[d] : run.text_at[d + 1]].tobytes().split()
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _few(table: DataFrame, width: int) -> DataFrame:
+    """A written table of rows of some width, to be broadcast if they were counted to be few."""
+    return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
+
+
+_PLACE = pa.struct([("row", pa.int64()), ("at", pa.int64())])
+_READ = "anchor long, content long, row long, start int, n int, head long, first long, tail long, last long, weight long, digest binary"
+
+
 class _Graph:
-    def __init__(self, docs: DataFrame, text: str, doc_id: str, size: int, anchor: int) -> None:
+    """Over numbered texts: a written table (row, text)."""
+
+    def __init__(self, texts: DataFrame, size: int, anchor: int) -> None:
         if not 2 <= anchor < size <= anchor + (1 << _WINDOW_BITS):
             raise ValueError("a window must be longer than the k-mer of its minimiser, by 64 words at most")
-        self.docs, self.text, self.doc_id, self.size, self.anchor = docs, text, doc_id, size, anchor
-        self.rows = docs.select(F.col(doc_id).alias("id"), _text_hash(F.col(text)).alias("of"), F.col(text).alias("text"))
-        self.kind = self.rows.schema["id"].dataType.simpleString()
+        self.texts, self.size, self.anchor = texts, size, anchor
 
     def pieces(self) -> DataFrame:
-        """A row for each content of a batch (with its first place and count), and rows with the spans of contents repeated within a batch."""
+        """A row for each content of a batch: its minimiser, count, first place and the other places."""
         size, anchor = self.size, self.anchor
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                of = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
+                number = batch.column(0).to_numpy()
                 got: list[list[np.ndarray]] = [[], [], [], [], []]
                 for r in runs(text_column(batch, "text"), NOT_SPACE):
-                    h = r.hashes()
-                    a, c, owner, start, n = pieces(h, r.first, size, anchor)
+                    a, c, owner, start, n = pieces(r.hashes(), r.first, size, anchor)
                     for k, x in enumerate((a, c, owner + r.rows.start, start - r.first[owner], n)):
                         got[k].append(x)
                 a, c, row, start, n = (np.concatenate([np.zeros(0, np.int64) if k > 1 else np.zeros(0, np.uint64), *x]) for k, x in enumerate(got))
@@ -137,127 +159,176 @@ class _Graph:
                 heads = np.flatnonzero(~same)
                 count = np.diff(np.append(heads, len(order)))
                 keep = order[heads]
-                at = ((of[row] << (_WINDOW_BITS + _WORD_BITS)) | (start << _WINDOW_BITS) | (n - 1)).astype(np.int64)
-                repeated = order[np.repeat(count > 1, count)]
-                spans = np.stack([row[repeated], start[repeated], start[repeated] + n[repeated] + size - 1], axis=1)
-                spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                owners, begin = np.unique(spans[:, 0], return_index=True)
-                known = [_glued(x[:, 1:]).astype(np.int32).tobytes() for x in np.split(spans, begin[1:])] if len(owners) else []
-                ids = batch.column(0).take(pa.array(np.concatenate([row[keep], owners]), pa.int64()))
-                more = len(owners)
+                row, at = number[row], (start << _WINDOW_BITS) | (n - 1)
+                others = order[np.flatnonzero(same)]
+                offsets = np.concatenate([[0], np.cumsum(count - 1)]).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(row[others]), pa.array(at[others])], fields=list(_PLACE)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([a[keep], np.zeros(more, np.uint64)]).view(np.int64)),
-                        pa.array(np.concatenate([c[keep], np.zeros(more, np.uint64)]).view(np.int64)),
-                        pa.array(np.concatenate([count, np.zeros(more, np.int64)]), pa.int64()),
-                        ids,
-                        pa.array(np.concatenate([at[keep], of[owners] << (_WINDOW_BITS + _WORD_BITS)]), pa.int64()),
-                        pa.array([None] * len(keep) + known, pa.binary()),
-                    ],
-                    names=["anchor", "content", "count", "id", "at", "spans"],
+                    [pa.array(a[keep].view(np.int64)), pa.array(c[keep].view(np.int64)), pa.array(count, pa.int64()), pa.array(row[keep], pa.int64()), pa.array(at[keep], pa.int64()), more],
+                    names=["anchor", "content", "count", "row", "at", "more"],
                 )
 
-        return self.rows.mapInArrow(run, f"anchor long, content long, count long, id {self.kind}, at long, spans binary")
+        return mapped(self.texts, run, "anchor long, content long, count long, row long, at long, more array<struct<row:long,at:long>>")
 
-    def spans(self) -> DataFrame:
-        """(id, of, spans): the glued spans of repeated windows of each text that has any, as pairs of int32."""
+    def met(self) -> tuple[DataFrame, DataFrame]:
+        """Pieces whose minimiser is found more than once, and their contents (with the number found and a source) that repeat or branch."""
         every = self.pieces()
-        single = every.where(F.col("count") > 0).drop("spans")
-        brief = F.col("content").bitwiseAND(F.lit(0xFFFFFFFF))
-        touched = single.groupBy("anchor").agg(F.sum("count").alias("touched"), (F.min(brief) != F.max(brief)).alias("branches")).where(F.col("touched") > 1).drop("touched")
-        met = single.join(touched, "anchor")
-        by_content = Window.partitionBy("anchor", "content")
-        met = met.withColumn("total", F.sum("count").over(by_content)).withColumn("nth", F.row_number().over(by_content.orderBy("id", "at")))
-        met = stash(met.where((F.col("total") > 1) | F.col("branches")).select("anchor", "total", "nth", "count", "id", "at", "branches"), "pieces")
-        whole = met.where((F.col("total") > 1) & (F.col("count") == 1)).select("id", _of_text(F.col("at")).alias("of"), _begin(F.col("at")).alias("start"), (_begin(F.col("at")) + _windows(F.col("at")) + self.size - 1).alias("end"))
-        found = whole.unionByName(self._branching(met.where(F.col("branches") & (F.col("nth") == 1))))
-        known = every.where(F.col("spans").isNotNull()).select("id", _of_text(F.col("at")).alias("of"), "spans")
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                glued = [_glued(np.array([x for pair in zip(s["start"], s["end"], strict=True) for x in pair], np.int32).reshape(-1, 2)) for s in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.ascontiguousarray(g, np.int32).tobytes() for g in glued], pa.binary())], names=["id", "of", "spans"])
-
-        lists = found.groupBy("id", "of").agg(F.struct(F.collect_list("start").alias("start"), F.collect_list("end").alias("end")).alias("s"))
-        some = lists.mapInArrow(pairs, f"id {self.kind}, of long, spans binary").unionByName(known)
-
-        def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [_glued(np.frombuffer(b"".join(x), np.int32).reshape(-1, 2)) for x in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.ascontiguousarray(g, np.int32).tobytes() for g in out], pa.binary())], names=["id", "of", "spans"])
-
-        return stash(some.groupBy("id", "of").agg(F.collect_list("spans").alias("spans")).mapInArrow(glue, f"id {self.kind}, of long, spans binary"), "spans")
-
-    def _branching(self, contents: DataFrame) -> DataFrame:
-        """Repeated windows of contents found once, where the minimiser has several contents."""
+        touched = every.groupBy("anchor").agg(F.sum("count").alias("touched"), (F.min("content") != F.max("content")).alias("branches")).where(F.col("touched") > 1)
+        touched = stash(touched.select("anchor", "branches"), "touched")
+        met = stash(every.join(_few(touched, 24), "anchor"), "met")
+        source = F.min(F.struct("row", "at")).alias("source")
+        contents = met.groupBy("anchor", "content").agg(F.sum("count").alias("total"), source, F.max("branches").alias("branches"))
+        contents = stash(contents.where((F.col("total") > 1) | F.col("branches")).select("anchor", "content", "total", "branches", "source.*"), "contents")
+        discard(touched)
+        return met, contents
+
+    def read(self, contents: DataFrame) -> DataFrame:
+        """Contents read at their source. Written out.
+
+        A row for each that repeats (weight 0): end nodes, first and last
+        edge, digest. A row for each window of one whose minimiser branches:
+        content is the window's hash, weight 1 or (if the content repeats) 2.
+        """
         size = self.size
-        asked = stash(contents.groupBy("id", _of_text(F.col("at")).alias("of")).agg(F.collect_list(F.struct("anchor", "at", F.least("total", F.lit(2)).alias("weight"))).alias("places")), "branching")
-        side = asked.select(F.col("id").alias("_id"), F.col("of").alias("_of"))
-        texts = self.rows.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), "left_semi")
-        joined = asked.join(texts.select(F.col("id").alias("_id"), F.col("of").alias("_of"), "text"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of"))).select("id", "of", "places", "text")
+        asked = contents.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "at", "total", "branches")).alias("places"))
+        asked = stash(asked, "asked")
+        rows = _few(asked.select("row"), 16)
+        joined = self.texts.join(rows, "row", "left_semi").join(asked, "row").select("row", "text", "places")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                asked = batch.column(2)
-                rows, anchors, hashes, weights, begins = [], [], [], [], []
-                for r in runs(text_column(batch, "text"), NOT_SPACE):
-                    w = window_hashes(r.hashes(), size)
-                    for d in range(r.rows.start, r.rows.stop):
-                        values = asked[d].values
-                        at = values.field("at").to_numpy()
-                        begin, n = (at >> _WINDOW_BITS) & ((1 << _WORD_BITS) - 1), (at & ((1 << _WINDOW_BITS) - 1)) + 1
-                        each = np.repeat(np.arange(len(at)), n)
-                        p = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                        rows.append(np.full(len(p), d))
-                        anchors.append(values.field("anchor").to_numpy()[each])
-                        hashes.append(w[r.first[d - r.rows.start] + p])
-                        weights.append(values.field("weight").to_numpy()[each])
-                        begins.append(p)
-                if not rows:
-                    continue
-                of = pa.array(np.concatenate(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(anchors), pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(weights), pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(begins).astype(np.int32))],
-                    names=["anchor", "window", "weight", "id", "of", "start"],
-                )
-
-        windows = joined.mapInArrow(run, f"anchor long, window long, weight long, id {self.kind}, of long, start int")
-        often = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).drop("n")
-        hits = windows.where(F.col("weight") == 1).join(often, ["anchor", "window"])
-        return hits.select("id", "of", "start", (F.col("start") + size).alias("end"))
-
+                number, asked = batch.column(0).to_pylist(), batch.column(2)
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(10)]
+                digests: list[bytes] = []
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
-    """docs with kept (the words left, joined by a space), n_words, n_removed and removed (word ranges).
+                def add(count: int, *values, out=out) -> None:
+                    for k, v in enumerate(values):
+                        out[k].append(np.full(count, v) if np.isscalar(v) else v)
 
+                for r in runs(text_column(batch, "text"), NOT_SPACE):
+                    h = r.hashes()
+                    w, nodes = window_hashes(h, size).view(np.int64), mix(window_hashes(h, size - 1), _NODE).view(np.int64)
+                    for d in range(r.rows.start, r.rows.stop):
+                        base, words = int(r.first[d - r.rows.start]), _split(r, d - r.rows.start)
+                        for x in asked[d].as_py():
+                            start, n = x["at"] >> _WINDOW_BITS, (x["at"] & ((1 << _WINDOW_BITS) - 1)) + 1
+                            p, q = base + start, base + start + n
+                            if x["total"] > 1:
+                                add(1, x["anchor"], x["content"], number[d], start, n, nodes[p : p + 1], w[p : p + 1], nodes[q : q + 1], w[q - 1 : q], 0)
+                                digests.append(_digest(words[start : start + n + size - 1]))
+                            if x["branches"]:
+                                add(n, x["anchor"], w[p:q], number[d], np.arange(start, start + n), 1, nodes[p:q], w[p:q], nodes[p + 1 : q + 1], w[p:q], min(x["total"], 2))
+                                digests += [_digest(words[i : i + size])[:8] for i in range(start, start + n)]
+                columns = [np.concatenate(x).astype(np.int32 if k in (3, 4) else np.int64) for k, x in enumerate(out)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=["anchor", "content", "row", "start", "n", "head", "first", "tail", "last", "weight", "digest"])
+
+        return stash(mapped(joined, run, _READ), "read")
+
+    def paths(self, edges: DataFrame) -> DataFrame:
+        """(anchor, content, path) of repeated paths and windows (edges, written: one row for each), compacted where no end node branches."""
+        into = edges.groupBy(F.col("tail").alias("node")).agg((F.min("last") == F.max("last")).alias("one_in"))
+        out = edges.groupBy(F.col("head").alias("node")).agg((F.min("first") == F.max("first")).alias("one_out"))
+        through = stash(into.where("one_in").join(out.where("one_out"), "node").select("node"), "through")
+        few = _few(through, 16)
+        flagged = edges.join(few.select(F.col("node").alias("tail"), F.lit(True).alias("on")), "tail", "left")
+        order = Window.partitionBy("row").orderBy("start", "n", "anchor")
+        before = F.lag(F.struct((F.col("start") + F.col("n")).alias("upto"), F.col("on").isNotNull().alias("on"))).over(order)
+        begins = ~F.coalesce((before["upto"] == F.col("start")) & before["on"], F.lit(False))
+        chained = flagged.withColumn("begins", begins).withColumn("no", F.sum(F.col("begins").cast("int")).over(order))
+        chained = stash(chained.select("anchor", "content", "head", "tail", F.xxhash64("row", "no").alias("chain")), "chains")
+        ends = chained.join(few.select(F.col("node").alias("tail")), "tail", "left_semi").groupBy(F.col("tail").alias("node")).agg(F.min("chain").alias("a"))
+        begun = chained.join(few.select(F.col("node").alias("head")), "head", "left_semi").select(F.col("head").alias("node"), F.col("chain").alias("b")).distinct()
+        more = chained.join(few.select(F.col("node").alias("tail")), "tail", "left_semi").select(F.col("tail").alias("node"), F.col("chain").alias("b")).distinct()
+        links = begun.unionByName(more).join(ends, "node").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+        named = components(links)
+        out = chained.join(_few(named, 24).withColumnRenamed("id", "chain"), "chain", "left")
+        return out.select("anchor", "content", F.coalesce("component", "chain").alias("path"))
+
+    def occurrences(self) -> DataFrame:
+        """(row, found): for each text with a repeated window, what was found in it: start, n (windows), path, digest. Not verified."""
+        met, contents = self.met()
+        read = self.read(contents)
+        whole = read.where("weight = 0")
+        windows = read.where("weight > 0")
+        often = windows.groupBy("anchor", "content", "digest").agg(F.sum("weight").alias("n_found"), F.min(F.struct("row", "start", "head", "first", "tail", "last")).alias("s")).where("n_found > 1")
+        often = stash(often.select("anchor", "content", "digest", "s"), "often")
+        edge = ["anchor", "content", "row", "start", "n", "head", "first", "tail", "last"]
+        single = often.select("anchor", "content", "s.row", "s.start", F.lit(1).alias("n"), "s.head", "s.first", "s.tail", "s.last")
+        edges = stash(whole.select(edge).unionByName(single), "edges")
+        path = stash(self.paths(edges).dropDuplicates(["anchor", "content"]), "paths")
+
+        known = stash(whole.select("anchor", "content", "digest").join(path, ["anchor", "content"]), "known")
+        places = F.explode(F.concat(F.array(F.struct("row", "at")), F.coalesce(F.col("more"), F.array().cast("array<struct<row:long,at:long>>")))).alias("p")
+        wholly = met.select("anchor", "content", "row", "at", "more").join(_few(known, 56), ["anchor", "content"]).select("path", "digest", places)
+        wholly = wholly.select("p.row", _begin(F.col("p.at")).alias("start"), _windows(F.col("p.at")).alias("n"), "path", "digest")
+        hits = windows.where("weight = 1").join(_few(often.select("anchor", "content", "digest"), 48), ["anchor", "content", "digest"]).join(_few(path, 40), ["anchor", "content"])
+        hits = hits.select("row", "start", "n", "path", "digest")
+        found = wholly.unionByName(hits).groupBy("row").agg(F.collect_list(F.struct("start", "n", "path", "digest")).alias("found"))
+        out = stash(found, "found")
+        discard(met, contents, read, often, edges, path, known)
+        return out
+
+
+def _passages(words: list[bytes], found: list[dict], size: int) -> tuple[np.ndarray, list[dict]]:
+    """Of a text's words: the covered ranges, and maximal verified spans with the name of their path."""
+    ok = []
+    for x in sorted(found, key=lambda x: (x["start"], x["n"])):
+        own = _digest(words[x["start"] : x["start"] + x["n"] + size - 1])
+        if own[: len(x["digest"])] == x["digest"]:
+            ok.append(x)
+    spans: list[dict] = []
+    for x in ok:
+        a, b = x["start"], x["start"] + x["n"] + size - 1
+        if spans and spans[-1]["path"] == x["path"] and a <= spans[-1]["end"]:
+            spans[-1]["end"] = max(b, spans[-1]["end"])
+        else:
+            spans.append({"start": a, "end": b, "path": x["path"]})
+    return _glued(np.array([[x["start"], x["end"]] for x in spans], np.int64).reshape(-1, 2)), spans
+
+
+def without_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+    """docs with kept (the words left, joined by a space), n_words, n_removed, removed (word ranges) and passages.
+
+    passages: the repeated passages of a text, each as its word range and the
+    number of its path in the graph, which is the same wherever it occurs.
     Columns of docs with these names are replaced.
     """
-    new = ["kept", "n_words", "n_removed", "removed"]
-    base = docs.drop(*new)
-    spans = _Graph(base, text, doc_id, size, anchor).spans()
-    total = spans.agg(F.sum(F.length("spans") + 40)).first()[0] or 0
-    side = spans.select(F.col("id").alias("_id"), F.col("of").alias("_of"), F.col("spans").alias("_spans"))
-    joined = base.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, base[doc_id].eqNullSafe(side["_id"]) & (_text_hash(base[text]) == side["_of"]), "left").drop("_id", "_of")
-    names = joined.columns[:-1]
+    new = ["kept", "n_words", "n_removed", "removed", "passages"]
+    named, names = plainly(docs, new)
+    t = place(names, text)
+    numbered = stash(named.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = _Graph(numbered.select("row", F.col(t).alias("text")), size, anchor).occurrences()
+    carried = named.columns
+    out_ddl = ddl(named.schema) + ", kept string, n_words long, n_removed long, removed array<struct<start:int,end:int>>, passages array<struct<start:int,end:int,path:long>>"
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("path", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                kept, n_words, n_removed, removed = [], [], [], []
-                for t, s in zip(text_column(part, text).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
-                    words = t.encode().split()
-                    ranges = np.frombuffer(s or b"", np.int32).reshape(-1, 2).tolist()
-                    n_words.append(len(words))
-                    n_removed.append(sum(b - a for a, b in ranges))
-                    removed.append([{"start": a, "end": b} for a, b in ranges])
-                    left, upto = [], 0
-                    for a, b in ranges:
-                        left += words[upto:a]
-                        upto = b
-                    kept.append(b" ".join(left + words[upto:] if ranges else words).decode())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pair)], names=[*names, *new])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_spans")
-    return joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, removed array<struct<start:int,end:int>>")
+            asked = batch.column("found") if "found" in batch.schema.names else None
+            for r in runs(text_column(batch, t), NOT_SPACE):
+                out: list[list] = [[], [], [], [], []]
+                for d in range(r.rows.stop - r.rows.start):
+                    words = _split(r, d)
+                    here = asked[r.rows.start + d].as_py() if asked is not None else None
+                    ranges, spans = _passages(words, here, size) if here else (np.zeros((0, 2), np.int64), [])
+                    pairs, left, upto = ranges.tolist(), [], 0
+                    for x, y in pairs:
+                        left += words[upto:x]
+                        upto = y
+                    removed = [{"start": x, "end": y} for x, y in pairs]
+                    for k, v in enumerate((b" ".join(left + words[upto:] if pairs else words).decode(), len(words), sum(y - x for x, y in pairs), removed, spans)):
+                        out[k].append(v)
+                part = batch.slice(r.rows.start, r.rows.stop - r.rows.start)
+                kinds = (pa.string(), pa.int64(), pa.int64(), pair, passage)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=[*carried, *new])
+
+    rows = found.select("row")
+    if found.count() * 16 <= BROADCAST_BYTES:  # the texts that lose nothing need no shuffle
+        rows = F.broadcast(rows)
+        without = numbered.join(rows, "row", "left_anti").select(*carried)
+        some = numbered.join(rows, "row", "left_semi").join(found, "row").select(*carried, "found")
+        out = mapped(without, run, out_ddl).unionByName(mapped(some, run, out_ddl))
+    else:
+        out = mapped(numbered.join(found, "row", "left").select(*carried, "found"), run, out_ddl)
+    return out.toDF(*names, *new)
