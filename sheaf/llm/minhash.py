@@ -9,28 +9,33 @@
    compared with the leader that it meets in most bands.
 3. A comparison looks at the signatures batch by batch and gives up as soon as
    the posterior of the similarity (uniform prior) leaves less than MISS for
-   its being large enough. Survivors are verified on their full shingle sets.
+   its being large enough. Survivors are verified on their full shingle sets:
+   texts are dealt by leader in blocks of about BLOCK candidates, each with the
+   leader's text once, before theirs.
 4. Components are formed. Only buckets that still hold several components go
    on: their nodes are compared with the leader exactly. What is left open are
    pairs of a node outside the leader's component with one of another
    component. Near the leader, both must share most of the second one's
-   differences from the leader, so they meet in a join on its rarest ones; with
-   a node far from the leader, the triangle inequality (Jaccard distance is a
-   metric) rules pairs out. No pair of a bucket is left open, and a bucket of n
-   copies costs about n comparisons.
+   differences from the leader, so they meet in a join on its rarest ones. Nodes
+   far from their leader, and those that the triangle inequality (Jaccard
+   distance is a metric) lets be similar to one, meet in a join on the rarest
+   shingles of their sets, of which similar sets share one. No pair of a bucket
+   is left open, no bucket's pairs are listed, and a bucket of n copies costs
+   about n comparisons.
 
 A pair with similarity 0.8 shares no bucket with probability
 (1 - 0.8**ROWS)**BANDS, about 1e-7; that and MISS are all that can lose a link.
 
-Joins on a bucket, print or hub are between a large table and one with a row
-for each key, which Spark splits where a key is hot. Identifiers are broadcast
-only where their number was counted and is at most BROADCAST_IDS; otherwise the
-same join is a shuffle.
+Joins on a bucket, print, leader or shingle are between written tables, one of
+them with a row for each key, so that Spark splits them where a key is hot.
+Such a table is broadcast only where its counted size is at most
+BROADCAST_BYTES; otherwise the same join is a shuffle.
 
 Defined results: null and empty texts have size 0 and stand alone; a text with
 fewer words than a shingle is one shingle; rows with the same doc_id and
 different texts count as linked; rows without a doc_id are not linked and not
-kept; other columns are not read.
+kept; an empty table gives an empty table; texts may be of any length; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,13 +49,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.llm.batches import mapped, place, plainly
 from sheaf.llm.components import components
-from sheaf.llm.scratch import stash
+from sheaf.llm.scratch import discard, stash
 from sheaf.llm.words import LOWER_ASCII, NOT_SPACE, Run, mix, range_hashes, runs, text_column, window_hashes
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS, BATCH, MISS = 40, 5, 40, 1e-9
-BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 16_000_000
+#: Candidates that are dealt with one copy of their leader's text.
+BLOCK = 128
 #: Similarity to a leader from which a node's differences from it are listed.
 NEAR = 0.4
 
@@ -151,15 +159,18 @@ def bounds(miss: float = MISS) -> list[tuple[float, float]]:
     return [(max(0.0, float(x) - 1 / 256), float(y)) for x, y in zip(low, high, strict=True)]
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A written table of identifiers, to be broadcast if it was counted to be small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it was measured to be small."""
+    long = [F.length(F.coalesce(F.col(f.name).cast("string"), F.lit(""))) for f in table.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum(long, F.lit(16 * len(table.columns)))
+    return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 class _Search:
     def __init__(self, docs: DataFrame, text: str, doc_id: str, size: int, similarity: float) -> None:
-        self.size, self.similarity = size, similarity
-        self.docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+        self.size, self.similarity, self.percent = size, similarity, round(similarity * 100)
+        named, names = plainly(docs)
+        self.docs = named.select(F.col(place(names, doc_id)).alias("id"), F.col(place(names, text)).alias("text"))
         self.kind = self.docs.schema["id"].dataType.simpleString()
 
     def sets(self) -> DataFrame:
@@ -169,14 +180,13 @@ class _Search:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *_prints(text_column(batch, "text"), size)], names=["id", "n", "fp", "sig", "bands"])
 
-        return stash(self.docs.mapInArrow(run, f"id {self.kind}, n long, fp binary, sig binary, bands array<long>"), "sets")
+        return stash(mapped(self.docs, run, f"id {self.kind}, n long, fp binary, sig binary, bands array<long>"), "sets")
 
-    def compared(self, pairs: DataFrame, nodes: DataFrame, whole: bool = False) -> DataFrame:
+    def compared(self, pairs: DataFrame, sigs: DataFrame, whole: bool = False) -> DataFrame:
         """pairs (a, b, ...) with matches (in the batches looked at; in all of them if whole) and alive."""
-        sigs = nodes.select("id", "sig")
         names = pairs.columns
-        joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("_b")), "b")
-        joined = joined.select(*names, "_a", "_b")
+        joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        joined = joined.select(*names, "sig_a", "sig_b")
         width = BANDS * ROWS
         need = [(n, least_matches(n, self.similarity)) for n in range(BATCH, width + 1, BATCH)]
 
@@ -195,90 +205,100 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(matches, pa.int64()), pa.array(ok)], names=[*names, "matches", "alive"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-        return joined.mapInArrow(run, f"{schema}, matches long, alive boolean")
+        return mapped(joined, run, f"{schema}, matches long, alive boolean")
 
-    def _texts_of(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b), written before, with both texts."""
-        ids = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        texts = self.docs.join(_few(ids), "id", "left_semi")
-        return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b").select("a", "b", "_a", "_b")
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """Documents (id, text) whose ids are in a written table."""
+        return self.docs.join(_few(ids), "id", "left_semi")
 
-    def differences(self, pairs: DataFrame) -> DataFrame:
+    def _dealt(self, pairs: DataFrame) -> DataFrame:
+        """Texts of pairs (a, b), written before: sorted rows b, block, a, text; in each block those of the leader b (a is null) first."""
+        ids = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        leaders = stash(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "leaders")
+        texts, led = self._texts(ids), _few(leaders)
+        asked = pairs.select("a", "b").join(led, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
+        theirs = texts.join(asked, F.col("id") == F.col("a")).select("b", "block", "a", "text")
+        own = leaders.select("b", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
+        own = texts.join(own, F.col("id") == F.col("b")).select("b", "block", F.lit(None).cast(self.kind).alias("a"), "text")
+        return own.unionByName(theirs).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").isNotNull())
+
+    def differences(self, pairs: DataFrame, listed: bool = True) -> DataFrame:
         """pairs (a, b), written before, with their exact similarity, whether it suffices, and what of a differs from b.
 
         missing and added are the elements of b that a lacks and of a that b
-        lacks; they are left out (null) where the similarity is below NEAR.
+        lacks; they are left out (null) where the similarity is below NEAR, and
+        if not listed.
         """
-        size, least = self.size, round(self.similarity * 100)
+        size, least = self.size, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, leaders = None, []
             for batch in batches:
+                b, no, a = (batch.column(k).to_pylist() for k in range(3))
+                at: list[int] = []
                 out: list[list] = [[], [], [], [], []]
-                for x, y in zip(elements(text_column(batch, "_a"), size), elements(text_column(batch, "_b"), size), strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    total = len(x) + len(y) - common
-                    near = common >= NEAR * total
-                    out[0].append(common / max(1, total))
-                    out[1].append(common > 0 and 100 * common >= least * total)
-                    out[2].append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist() if near else None)
-                    out[3].append(np.setdiff1d(x, y, assume_unique=True).view(np.int64).tolist() if near else None)
-                    out[4].append(len(y))
+                for k, x in enumerate(elements(text_column(batch, "text"), size)):
+                    if block != (b[k], no[k]):
+                        block, leaders = (b[k], no[k]), []
+                    if a[k] is None:
+                        leaders.append(x)
+                        continue
+                    for y in leaders:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        total = len(x) + len(y) - common
+                        near = listed and common >= NEAR * total
+                        at.append(k)
+                        out[0].append(common / max(1, total))
+                        out[1].append(common > 0 and 100 * common >= least * total)
+                        out[2].append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist() if near else None)
+                        out[3].append(np.setdiff1d(x, y, assume_unique=True).view(np.int64).tolist() if near else None)
+                        out[4].append(len(y))
                 kinds = (pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["a", "b", "j", "linked", "missing", "added", "n_leader"])
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(taken), batch.column(0).take(taken), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["a", "b", "j", "linked", "missing", "added", "n_leader"])
 
-        return self._texts_of(pairs).mapInArrow(run, f"a {self.kind}, b {self.kind}, j double, linked boolean, missing array<long>, added array<long>, n_leader long")
+        return mapped(self._dealt(pairs), run, f"a {self.kind}, b {self.kind}, j double, linked boolean, missing array<long>, added array<long>, n_leader long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), written before, whose shingle sets are similar enough."""
-        both = self._texts_of(pairs)
-        size, least = self.size, round(self.similarity * 100)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                similar = []
-                for x, y in zip(elements(text_column(batch, "_a"), size), elements(text_column(batch, "_b"), size), strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    similar.append(common > 0 and 100 * common >= least * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
-
-        return both.mapInArrow(run, f"a {self.kind}, b {self.kind}").distinct()
+        return self.differences(pairs, listed=False).where("linked").select("a", "b").distinct()
 
     def components(self) -> tuple[DataFrame, DataFrame]:
-        """(id, node, fp) of the documents with a set, and (id, component) of the linked nodes."""
+        """(id, node) of the documents that share their set with a smaller id or are named twice, and (id, component) of the linked nodes."""
         sets = self.sizes = self.sets()
         own = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
-        nodes_of = own.groupBy("fp").agg(F.min("id").alias("node"))
-        named = stash(own.select("id", "fp").join(nodes_of, "fp").select("id", "node", "fp"), "named")
-        copies = stash(named.where(F.col("id") != F.col("node")).select("id", "fp"), "copies")
-        nodes = own.join(_few(copies), ["id", "fp"], "left_anti")
-        same = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b"))
-        same = named.select("id", "node").join(same.select("id", "a"), "id").where(F.col("node") != F.col("a")).select(F.col("node").alias("b"), "a").distinct()
+        copied = stash(own.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1").select("fp", "node"), "copied")
+        twins = stash(own.select("id", "fp").join(_few(copied), "fp").where(F.col("id") != F.col("node")).select("id", "fp", "node"), "twins")
+        nodes = own.join(_few(twins.select("id", "fp")), ["id", "fp"], "left_anti")
+        sigs = nodes.select("id", "sig")
+        named, same = self._named_twice(own, copied, twins)
 
         rows = nodes.select("id", F.explode("bands").alias("bucket"))
-        shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        met = stash(rows.join(shared, "bucket").select("bucket", "id", "n"), "met")
-        central = met.groupBy("id").agg(F.sum("n").alias("weight"))
-        weighed = met.join(central, "id")
-        leaders = weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("leader"))
-        members = stash(met.join(leaders, "bucket").select("bucket", "id", "leader"), "members")
+        shared = stash(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "shared")
+        met = stash(rows.join(_few(shared), "bucket").select("bucket", "id", "n"), "met")
+        central = stash(met.groupBy("id").agg(F.sum("n").alias("weight")), "central")
+        weighed = met.join(_few(central), "id")
+        leaders = stash(weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("leader")), "leaders")
+        members = stash(met.join(_few(leaders), "bucket").select("bucket", "id", "leader"), "members")
+        discard(shared, met, central, leaders)
 
         # Each node with the leader it meets most.
         meets = members.where(F.col("id") != F.col("leader")).groupBy("id", "leader").agg(F.count("*").alias("n"))
         best = meets.groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
-        first = stash(self.compared(best.select(F.col("id").alias("a"), "b"), nodes).where("alive").select("a", "b"), "pairs")
+        first = stash(self.compared(best.select(F.col("id").alias("a"), "b"), sigs).where("alive").select("a", "b"), "pairs")
         links = stash(self.verified(first).unionByName(same), "links")
         component = components(links)
 
         # Buckets with several components: all their nodes with the leader.
-        with_component = lambda c: members.join(c, "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("component"))
-        now = with_component(component)
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-        still = stash(now.join(mixed, "bucket", "left_semi"), "mixed")
+        now = members.join(_few(component), "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("component"))
+        mixed = stash(now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("bucket"), "mixed")
+        still = stash(now.join(_few(mixed), "bucket", "left_semi"), "still")
+        discard(mixed, members, first)
         if still.isEmpty():
             return named, component
-        head = lambda m: m.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("led"))
-        pairs = still.where(F.col("id") != F.col("leader")).join(head(still), "bucket").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.max(F.col("component") != F.col("led")).alias("apart"))
-        against = stash(self.compared(pairs, nodes, whole=True), "against")
+        head = still.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("led"))
+        pairs = still.where(F.col("id") != F.col("leader")).join(head, "bucket").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.max(F.col("component") != F.col("led")).alias("apart"))
+        against = stash(self.compared(pairs, sigs, whole=True), "against")
         table = bounds()
         low, high = (F.get(F.array(*[F.lit(float(x[k])) for x in table]), F.col("matches").cast("int")) for k in (0, 1))
         maybe = stash(against.where(high >= NEAR).select("a", "b"), "pairs")
@@ -288,15 +308,26 @@ class _Search:
         component = components(links)
 
         # Nodes outside the leader's component (u) with nodes of other components.
-        named_component = component.select(F.col("id"), "component")
-        of = lambda df, node, name: df.join(named_component.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        few = _few(component)
+        of = lambda df, node, name: df.join(few.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
         placed = of(of(exact, "a", "component"), "b", "led")
-        left = self._by_differences(placed).unionByName(self._by_bounds(still, against, exact, of, low, high)).distinct()
-        third = stash(self.compared(left, nodes).where("alive").select("a", "b"), "pairs")
+        left = self._by_differences(placed).unionByName(self._by_shingles(still, against, exact, of, low, high)).distinct()
+        third = stash(self.compared(left, sigs).where("alive").select("a", "b"), "pairs")
+        discard(still, against, maybe, exact)
         if not third.isEmpty():
             component = components(links.unionByName(self.verified(third)))
         return named, component
 
+    def _named_twice(self, own: DataFrame, copied: DataFrame, twins: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, node) of documents that are no node of their own, and links between the nodes of ids with several texts."""
+        again = stash(own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+        named = twins.select("id", "node")
+        if again.isEmpty():
+            return named, named.select(F.col("node").alias("a"), F.col("id").alias("b")).limit(0)
+        of = own.select("id", "fp").join(_few(again), "id", "left_semi").join(_few(copied), "fp", "left").select("id", F.coalesce("node", "id").alias("node")).distinct()
+        least = of.groupBy("id").agg(F.min("node").alias("a"))
+        return named, of.join(least, "id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+
     def _by_differences(self, placed: DataFrame) -> DataFrame:
         """Pairs of nodes near a common leader that can be similar though one of them (u) is not similar to the leader.
 
@@ -315,8 +346,8 @@ class _Search:
         size = (F.size("missing") + F.size("added")).alias("size")
         rows = near.select("a", "b", "component", (F.col("component") != F.col("led")).alias("outside"), weight.alias("w"), (weight - (2 * s - 1) * F.col("n_leader")).alias("lack"), size, F.explode(tagged).alias("d"))
         rows = stash(rows.select("a", "b", "component", "outside", "w", "lack", "size", "d.side", "d.x"), "elements")
-        often = rows.where("outside").groupBy("b", "side", "x").agg(F.count("*").alias("n"))
-        ranked = rows.join(often, ["b", "side", "x"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(0)), "side", "x")))
+        often = stash(rows.where("outside").groupBy("b", "side", "x").agg(F.count("*").alias("n")), "often")
+        ranked = rows.join(_few(often), ["b", "side", "x"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(0)), "side", "x")))
         ranked = stash(ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("w") - 1e-9) + 1) & F.col("n").isNotNull() | F.col("outside")), "ranked")
         asked = ranked.where("outside").select("b", "side", "x", F.col("a").alias("u"), F.col("component").alias("of_u"), F.col("lack").alias("u_lack"), F.col("size").alias("u_size"), F.col("nth").alias("u_nth"))
         shared = F.ceil(F.col("w") + F.col("u_lack") - 1e-9)
@@ -324,26 +355,52 @@ class _Search:
         met = ranked.select("b", "side", "x", "a", "component", "w", "size", "nth").join(asked, ["b", "side", "x"]).where(both)
         return met.select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
 
-    def _by_bounds(self, still: DataFrame, against: DataFrame, exact: DataFrame, of, low: Column, high: Column) -> DataFrame:
-        """Pairs of a bucket with a node far from its leader, but for those that the triangle inequality rules out."""
+    def _by_shingles(self, still: DataFrame, against: DataFrame, exact: DataFrame, of, low: Column, high: Column) -> DataFrame:
+        """Pairs of a node far from its leader with any node that the triangle inequality lets be similar to a far one of its bucket.
+
+        Two sets of n and n' elements are similar only if they share
+        o = s / (1 + s) (n + n') elements or more; in one order of all
+        elements, rarest first, the first that both share is among the first
+        n - o + 1 of the one and n' - o + 1 of the other.
+        """
         known = exact.select("a", "b", "j", F.col("missing").isNotNull().alias("near"))
         seen = against.select("a", "b", low.alias("low"), high.alias("high")).join(known, ["a", "b"], "left")
         seen = seen.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.coalesce("j", "low").alias("low"), F.coalesce("j", "high").alias("high"), F.coalesce("near", F.lit(False)).alias("near"))
-        rest = of(still.select("bucket", "id", "leader").join(seen, ["id", "leader"]), "id", "component")
-        far = rest.where(~F.col("near")).select("bucket", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("low").alias("u_low"), F.col("high").alias("u_high"))
-        gap = 1 - self.similarity + 1e-9
-        open_ = (F.col("of_u") != F.col("component")) & (F.col("u_high") + gap >= F.col("low")) & (F.col("high") + gap >= F.col("u_low"))
-        return far.join(rest, "bucket").where(open_).select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b"))
+        rest = stash(still.select("bucket", "id", "leader").join(seen, ["id", "leader"]).select("bucket", "id", "low", "high", "near"), "rest")
+        tops = stash(rest.where(~F.col("near")).groupBy("bucket").agg(F.max("high").alias("top")), "tops")
+        near_enough = F.col("low") <= F.col("top") + 1 - self.similarity + 1e-9
+        asked = rest.join(_few(tops), "bucket").where(near_enough).groupBy("id").agg(F.max(~F.col("near")).alias("far"))
+        asked = stash(of(asked, "id", "component"), "asked")
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [x.view(np.int64) for x in elements(text_column(batch, "text"), size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "xs"])
+
+        sets = mapped(self._texts(asked.select("id")), run, f"id {self.kind}, xs array<long>")
+        rows = stash(sets.join(_few(asked), "id").select("id", "far", "component", F.size("xs").alias("n"), F.explode("xs").alias("x")), "far-sets")
+        often = stash(rows.groupBy("x").agg(F.count("*").alias("often")), "often")
+        order = Window.partitionBy("id", "n").orderBy("often", "x")
+        ranked = rows.join(_few(often), "x").withColumn("nth", F.row_number().over(order))
+        least = F.ceil(F.col("n") * self.percent / 100)
+        ranked = stash(ranked.where((F.col("often") > 1) & (F.col("nth") <= F.col("n") - least + 1)).drop("often"), "far-ranked")
+        u = ranked.where("far").select("x", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"))
+        shared = F.ceil((F.col("n") + F.col("n_u")) * (self.percent / (100 + self.percent)) - 1e-9)
+        both = (F.col("component") != F.col("of_u")) & (F.col("nth") <= F.col("n") - shared + 1) & (F.col("nth_u") <= F.col("n_u") - shared + 1)
+        met = ranked.join(u, "x").where(both)
+        return met.select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest linked doc_id) and kept (it is that one)."""
     search = _Search(docs, text, doc_id, size, similarity)
     named, component = search.components()
-    of_node = named.join(component.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
-    first = of_node.groupBy("id").agg(F.min("component_id").alias("component_id"))
+    of_copies = named.join(component.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    own = component.select("id", F.col("component").alias("component_id"))
+    first = stash(of_copies.unionByName(own).groupBy("id").agg(F.min("component_id").alias("component_id")), "component-of")
     sets = search.sizes
-    joined = sets.join(first, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    joined = sets.join(_few(first), "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -353,12 +410,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     The one with the smallest doc_id stays; of rows that repeat an id, one.
     Rows without a doc_id stay.
     """
-    kept = stash(near_duplicates(docs, text, doc_id, size, similarity).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept, docs[doc_id] == kept["_kept"], "left")
-    out = out.where(F.col("_kept").isNotNull() | F.col(doc_id).isNull())
-    if kept.where("_rows > 1").isEmpty():
-        return out.select(*[docs[c] for c in docs.columns])
-    numbered = stash(out.withColumn("_row", F.monotonically_increasing_id()), "kept-rows")
-    one = numbered.where(F.col("_rows") > 1).groupBy("_kept").agg(F.min("_row").alias("_row")).select("_row")
-    single = numbered.where(F.col("_kept").isNull() | (F.col("_rows") == 1))
-    return single.unionByName(numbered.join(one, "_row", "left_semi")).select(*docs.columns)
+    named, names = plainly(docs)
+    i = place(names, doc_id)
+    kept = stash(near_duplicates(docs, text, doc_id, size, similarity).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = named.join(_few(kept), named[i] == kept["doc_id"], "left").where(F.col("doc_id").isNotNull() | F.col(i).isNull())
+    if kept.where("n > 1").isEmpty():
+        return out.select(*named.columns).toDF(*names)
+    numbered = stash(out.withColumn("row", F.monotonically_increasing_id()), "kept-rows")
+    one = numbered.where(F.col("n") > 1).groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+    single = numbered.where(F.col("doc_id").isNull() | (F.col("n") == 1))
+    return single.unionByName(numbered.join(one, "row", "left_semi").select(*numbered.columns)).select(*named.columns).toDF(*names)
