@@ -17,7 +17,9 @@ most ``MAX_ENTRIES`` entries.
 
 Defined results: null and empty texts have no evidence and get the lowest
 score; repeated rows stay; ids labelled several times are toxic if any label
-says so; without a toxic label in the sample only the given words count.
+says so; without a toxic label in the sample only the given words count; an
+empty table gives an empty table; a text costs time in proportion to its length
+and number of matches; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -33,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.scratch import stash
+from sheaf.llm.batches import ddl, mapped, place, plainly
+from sheaf.llm.scratch import discard, stash
 from sheaf.llm.words import NOT_SPACE, mix, runs, text_column, window_hashes
 
 SAMPLE, MAX_ENTRIES, LEAST, STRENGTH = 20_000, 20_000, 3, 14.0
+#: Terms of the labelled sample that the driver chooses entries from, those in most toxic texts first.
+CANDIDATES = 100_000
 #: Lengths of word beginnings that are tried as entries.
 STEMS, STEM_GAIN = range(4, 10), 1.5
 #: Words that count also where the labelled sample is too small to show it, and their weight.
@@ -117,7 +122,13 @@ def evidence(text: str, machine) -> tuple[float, list[tuple[int, int, float]]]:
                 spared.append((start, end + 1))
         if weight > best.get(start, (0, 0.0))[1]:
             best[start] = (end + 1, weight)
-    found = [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
+    found, upto, k = [], 0, 0  # both lists by start: upto is how far phrases reach that began at the match or before
+    spared.sort()
+    for s, (e, w) in sorted(best.items()):
+        while k < len(spared) and spared[k][0] <= s:
+            upto, k = max(upto, spared[k][1]), k + 1
+        if e > upto:
+            found.append((s, e, w))
     return sum(w for _, _, w in found), found
 
 
@@ -164,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     share = min(1.0, max(0.0, sample - 4 * sqrt(sample)) / max(n, 1))
     chosen = marks.where((F.xxhash64("id") / F.lit(2.0**64)) + 0.5 < share)  # at most `sample` rows
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    known = stash(texts.join(F.broadcast(chosen), "id"), "labelled").select("id", "text", "y")
+    labelled = stash(texts.join(F.broadcast(chosen), "id"), "labelled")
+    known = labelled.select("id", "text", "y")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k].view(np.int64)) for k in range(4))], names=["id", "a", "b", "c", "d"])
 
     kind = known.schema["id"].dataType.simpleString()
-    rows = known.mapInArrow(sketches, f"id {kind}, a long, b long, c long, d long").toArrow()
+    rows = mapped(known, sketches, f"id {kind}, a long, b long, c long, d long").toArrow()
     keys = set(_distinct(sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True))))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         terms = ["", *{*by[0], *by[1]}]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1], *(by[1][t] for t in terms[1:])], pa.int64()), pa.array([n[0], *(by[0][t] for t in terms[1:])], pa.int64())], names=["term", "toxic", "clean"])
 
-    table = known.mapInArrow(counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = table.where((F.col("term") == "") | ((F.col("toxic") >= LEAST) & (F.col("toxic") >= 2 * F.col("clean")))).toArrow()
+    table = mapped(known, counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    table = table.where((F.col("term") == "") | ((F.col("toxic") >= LEAST) & (F.col("toxic") >= 2 * F.col("clean"))))
+    table = table.orderBy(F.col("term") != "", F.desc("toxic"), "clean", "term").limit(CANDIDATES + 1).toArrow()
     found = {t: (a, b) for t, a, b in zip(*(c.to_pylist() for c in table.columns), strict=True)}
     n_toxic, n_clean = found.pop("", (0, 0))
     lexicon = _chosen(found, n_toxic, n_clean)
     lexicon.words = {**given, **lexicon.words}
     points = measured(known, lexicon, "text").select("id", "y", "evidence", "n_words").toArrow()
+    discard(labelled)
     ids, y, e, w = (c.to_pylist() for c in points.columns)
     own = [k for k, i in enumerate(ids) if i in keys]
     return _curve(lexicon, np.array([e[k] for k in own]), np.array([w[k] for k in own]), np.array([y[k] for k in own], float))
@@ -240,37 +254,43 @@ def _curve(lexicon: Lexicon, e: np.ndarray, w: np.ndarray, y: np.ndarray) -> Lex
     return lexicon
 
 
+def _evidence(col: pa.Array, machine) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Evidence, number of words and matches of each text."""
+    words = np.concatenate([r.counts() for r in runs(col, NOT_SPACE)] or [np.zeros(0, np.int64)])
+    got = [evidence(t.as_py(), machine) for t in col]
+    return np.array([x for x, _ in got], float), words, [x for _, x in got]
+
+
 def measured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """docs with evidence, n_words, score and matches (columns of these names are replaced)."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
-    docs = docs.drop("evidence", "n_words", "score", "matches")
-    names = docs.columns
+    new = ["evidence", "n_words", "score", "matches"]
+    named, names = plainly(docs, new)
+    t = place(names, text)
+    out_names = [*named.columns, *new]
     match = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = held.value.automaton()
         for batch in batches:
-            col = text_column(batch, text)
-            words = np.concatenate([r.counts() for r in runs(col, NOT_SPACE)] or [np.zeros(0, np.int64)])
-            got = [evidence(t.as_py(), machine) for t in col]
-            e = np.array([x for x, _ in got], float)
-            spans = [[{"start": a, "end": b, "weight": w} for a, b, w in x] for _, x in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e, pa.float64()), pa.array(words, pa.int64()), pa.array(held.value.score(e, words), pa.float64()), pa.array(spans, match)], names=[*names, "evidence", "n_words", "score", "matches"])
+            e, words, found = _evidence(text_column(batch, t), machine)
+            spans = [[{"start": a, "end": b, "weight": w} for a, b, w in x] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e, pa.float64()), pa.array(words, pa.int64()), pa.array(held.value.score(e, words), pa.float64()), pa.array(spans, match)], names=out_names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, evidence double, n_words long, score double, matches array<struct<start:int,end:int,weight:double>>")
+    more = ", evidence double, n_words long, score double, matches array<struct<start:int,end:int,weight:double>>"
+    return mapped(named, run, ddl(named.schema) + more).toDF(*names, *new)
 
 
 def kept(docs: DataFrame, lexicon: Lexicon, text: str = "text", limit: float = LIMIT) -> DataFrame:
     """docs, with the same columns, whose score is below the limit."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    named, names = plainly(docs)
+    t = place(names, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = held.value.automaton()
         for batch in batches:
-            col = text_column(batch, text)
-            words = np.concatenate([r.counts() for r in runs(col, NOT_SPACE)] or [np.zeros(0, np.int64)])
-            e = np.array([evidence(t.as_py(), machine)[0] for t in col], float)
+            e, words, _ = _evidence(text_column(batch, t), machine)
             yield batch.filter(pa.array(held.value.score(e, words) < limit, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(named, run, named.schema).toDF(*names)
