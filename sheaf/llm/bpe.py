@@ -19,9 +19,15 @@ from the left run's encoding, pairs within from the window's, pairs right of
 it from the right run's, so the joined sequence is exact. An id also tells
 whether its token ends a word, so both sides agree on word borders.
 
+A task makes its codec when it begins and drops it, with the words it learned,
+when it ends; both generations of learned words are bounded. Long texts are
+numbered and written out before they are cut, so that a number stays that of
+its text whatever is computed again.
+
 Defined results: null encodes as the empty text (no ids, empty decoded text);
-repeated rows and repeated ids each keep their row; other columns are carried
-along. Texts may be of any length; ids of one text are one row.
+repeated rows and repeated ids each keep their row; an empty table gives an
+empty table; other columns, whatever their names, are carried along. Texts may
+be of any length; ids of one text are one row.
 """
 
 from __future__ import annotations
@@ -38,10 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import ddl, mapped, place, plainly, release
+from sheaf.llm.scratch import stash
 from sheaf.llm.words import text_column
+from sheaf.runtime import ship
 
 #: Characters from which a text is cut into pieces, characters of a run that is halved, and words a worker remembers.
-LONG_TEXT, UNSPLIT, REMEMBER = 1 << 16, 1 << 12, 200_000
+LONG_TEXT, UNSPLIT, REMEMBER = 1 << 16, 1 << 12, 100_000
 #: Bytes of text that leave a task at once.
 OUT_BYTES = 1 << 20
 
@@ -80,7 +89,7 @@ class Piece:
     """Part of a text. Without white space: head only, tail None."""
 
     head: Tokens
-    between: list[int]
+    between: list[np.ndarray]
     tail: Tokens | None
 
 
@@ -230,7 +239,7 @@ class Codec:
         if first is None:
             return Piece(self.run(text), [], None)
         head, last = first.start(), max(text.rfind(c) for c in " \t\n\r\x0b\x0c") + 1
-        return Piece(self.run(text[:head]), self.encode(text[head:last]).tolist(), self.run(text[last:]))
+        return Piece(self.run(text[:head]), [self.encode(text[head:last])], self.run(text[last:]))
 
     def join_pieces(self, a: Piece, b: Piece) -> Piece:
         if a.tail is None:
@@ -239,15 +248,15 @@ class Codec:
         met = self.join(a.tail, b.head)
         if b.tail is None:
             return Piece(a.head, a.between, met)
-        return Piece(a.head, a.between + met.ids + b.between, b.tail)
+        return Piece(a.head, [*a.between, np.array(met.ids, np.int32), *b.between], b.tail)
 
-    def tree(self, pieces: list[Piece]) -> list[int]:
-        """Pieces in order, joined pairwise."""
+    def tree(self, pieces: list[Piece]) -> np.ndarray:
+        """The ids of pieces in order, joined pairwise."""
         while len(pieces) > 1:
             pairs = [pieces[i : i + 2] for i in range(0, len(pieces), 2)]
             pieces = [reduce(self.join_pieces, p) for p in pairs]
         p = pieces[0]
-        return p.head.ids + p.between + (p.tail.ids if p.tail else [])
+        return np.concatenate([np.array(p.head.ids, np.int32), *p.between, np.array(p.tail.ids if p.tail else [], np.int32)])
 
 
 def _composes(text: str, i: int) -> bool:
@@ -260,17 +269,6 @@ def _composes(text: str, i: int) -> bool:
     return nfc("NFC", text[i - 1 : i + 1]) != nfc("NFC", text[i - 1]) + nfc("NFC", text[i])
 
 
-_held: dict[int, Codec] = {}
-
-
-def _codec(spec: str, unsplit: int) -> Codec:
-    key = hash((spec, unsplit))
-    if key not in _held:
-        _held.clear()
-        _held[key] = Codec(spec, unsplit)
-    return _held[key]
-
-
 _RUN = "struct<text:string,ids:array<int>,start:array<int>,end:array<int>>"
 _RUN_TYPE = pa.struct([("text", pa.string()), ("ids", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))])
 
@@ -292,6 +290,10 @@ def _ids(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))
 
 
+def _tokens_of(x: dict | None) -> Tokens | None:
+    return None if x is None else Tokens(x["text"], x["ids"], x["start"], x["end"])
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None, long_text: int = LONG_TEXT, unsplit: int = UNSPLIT) -> DataFrame:
     """docs with a column of ids, and with decoded one of the text decoded from them.
 
@@ -299,62 +301,68 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     the tasks (its size is that of a vocabulary). A column of docs with either
     new name is replaced.
     """
+    spark = docs.sparkSession
+    ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = docs.drop(ids, *([decoded] if decoded else []))
-    names = docs.columns
-    at = names.index(text)
-    ddl = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out_ddl = ddl(docs.schema) + f", `{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
-    out_names = [*names, ids, *([decoded] if decoded else [])]
+        spec = spark.sparkContext.broadcast(f.read())
+    new = [ids, *([decoded] if decoded else [])]
+    named, names = plainly(docs, new)
+    t = place(names, text)
+    at = named.columns.index(t)
+    added = ", ids array<int>" + (", decoded string" if decoded else "")
+    out_names = [*named.columns, "ids", *(["decoded"] if decoded else [])]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec.value, unsplit)
+        codec = Codec(spec.value, unsplit)
         for batch in batches:
             for part in _slices(batch, at):
-                got = [codec.encode(x.as_py()) for x in text_column(part, text)]
+                got = [codec.encode(x.as_py()) for x in text_column(part, t)]
                 more = [pa.array([codec.decode(x.tolist()) for x in got], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids(got), *more], names=out_names)
 
-    length = F.coalesce(F.length(text), F.lit(0))
-    whole = docs.where(length <= long_text).mapInArrow(short, out_ddl)
+    length = F.coalesce(F.length(t), F.lit(0))
+    whole = mapped(named.where(length <= long_text), short, ddl(named.schema) + added)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec.value, unsplit)
+        codec = Codec(spec.value, unsplit)
         run = lambda r: None if r is None else {"text": r.text, "ids": r.ids, "start": r.start, "end": r.end}
         for batch in batches:
             for k in range(len(batch)):
                 part = batch.slice(k, 1)
                 p = codec.piece(part.column(2)[0].as_py())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([run(p.head)], _RUN_TYPE), pa.array([p.between], pa.list_(pa.int32())), pa.array([run(p.tail)], _RUN_TYPE)], names=["row", "no", "head", "between", "tail"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([run(p.head)], _RUN_TYPE), _ids([np.concatenate([*p.between, np.zeros(0, np.int32)])]), pa.array([run(p.tail)], _RUN_TYPE)], names=["row", "no", "head", "between", "tail"])
 
     def joined(group: pa.Table) -> pa.Table:
-        codec = _codec(spec.value, unsplit)
-        rows = group.sort_by("no").to_pylist()
-        run = lambda r: None if r is None else Tokens(r["text"], r["ids"], r["start"], r["end"])
-        got = codec.tree([Piece(run(r["head"]), r["between"], run(r["tail"])) for r in rows])
-        return pa.table({"row": pa.array([rows[0]["row"]], pa.int64()), ids: pa.array([got], pa.list_(pa.int32()))} | ({decoded: pa.array([codec.decode(got)], pa.string())} if decoded else {}))
-
-    long = docs.where(length > long_text).withColumn("_row", F.monotonically_increasing_id())
-    texts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / long_text).cast("int") - 1), lambda i: F.substring(F.col(text), i * long_text + 1, F.lit(long_text)))
-    pieces = long.select(F.col("_row").alias("row"), F.posexplode(texts).alias("no", "piece")).repartition("row", "no")
-    encoded = pieces.mapInArrow(cut, f"row long, no int, head {_RUN}, between array<int>, tail {_RUN}")
-    whole_ids = encoded.groupBy("row").applyInArrow(joined, f"row long, `{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
-    return whole.unionByName(long.join(whole_ids, long["_row"] == whole_ids["row"]).select(*out_names))
+        codec = Codec(spec.value, unsplit)
+        group = group.sort_by("no")
+        between = [np.asarray(x.values, np.int32) for x in group["between"]]
+        heads, tails = ([_tokens_of(x) for x in group[k].to_pylist()] for k in ("head", "tail"))
+        got = codec.tree([Piece(h, [b], e) for h, b, e in zip(heads, between, tails, strict=True)])
+        text_of = {"decoded": pa.array([codec.decode(got.tolist())], pa.string())} if decoded else {}
+        release()
+        return pa.table({"row": group["row"][:1].combine_chunks(), "ids": _ids([got])} | text_of)
+
+    long = stash(named.where(length > long_text).withColumn("long_row", F.monotonically_increasing_id()), "bpe-long")
+    texts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / long_text).cast("int") - 1), lambda i: F.substring(F.col(t), i * long_text + 1, F.lit(long_text)))
+    pieces = long.select(F.col("long_row").alias("row"), F.posexplode(texts).alias("no", "piece")).repartition("row", "no")
+    encoded = mapped(pieces, cut, f"row long, no int, head {_RUN}, between array<int>, tail {_RUN}")
+    whole_ids = encoded.groupBy("row").applyInArrow(joined, f"row long{added}")
+    return whole.unionByName(long.join(whole_ids, long["long_row"] == whole_ids["row"]).select(*out_names)).toDF(*names, *new)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the text decoded from a column of ids (null: null)."""
+    ship(df.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
-    df = df.drop(decoded)
-    names = [*df.columns, decoded]
-    at = df.columns.index(ids)
+    named, names = plainly(df, [decoded])
+    at = named.columns.index(place(names, ids))
+    out_names = [*named.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec.value, UNSPLIT)
+        codec = Codec(spec.value, UNSPLIT)
         for batch in batches:
             texts = [None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=out_names)
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{decoded}` string")
+    return mapped(named, run, ddl(named.schema) + ", decoded string").toDF(*names, decoded)
