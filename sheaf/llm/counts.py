@@ -1,17 +1,25 @@
 """Token counts by a unigram model, with forward scores shared along a trie.
 
-A vocabulary's pieces get Zipf scores from their ranks, log p = -log(rank + SHIFT).
-A pre-token's count is the number of pieces on its best path (of equal scores,
-the fewest pieces). The distinct pre-tokens of a batch are put into a trie by
-sorting: the forward state at a prefix (best score, pieces) is computed once and
-shared by all pre-tokens below it, and the count is stored where a pre-token
-ends. Workers remember counts, so a pre-token is scored about once a worker.
+A vocabulary's pieces get Zipf scores from their ranks, log p = -log(rank + SHIFT):
+no public vocabulary at hand has unigram scores, and none is trained here, so the
+counts are those of this model and of no tokenizer. A pre-token's count is the
+number of pieces on its best path (of equal scores, the fewest pieces).
+
+Each distinct pre-token of a task is inserted in a trie once. A node stands for a
+prefix and holds its forward state, the best score and the pieces used for it,
+which is computed when the node is made and shared by all pre-tokens below it.
+Where a pre-token ends, the node's state is its count, stored as the terminal
+count by which texts are summed. The trie begins anew when it has NODES nodes
+(distinct pre-tokens in the meantime are scored again, with the same counts), and
+goes when the task ends.
 
 Pre-tokens are words with at most one space before them, and other white space
 singly; all bytes must be pieces, so that every text has a path.
 
 Defined results: null and empty texts have no pre-tokens and count 0; repeated
-rows stay; columns of the new names are replaced, others carried along.
+rows stay; an empty table gives an empty table; a pre-token of any length has a
+count (a node for each byte); columns of the new names are replaced, others,
+whatever their names, carried along.
 """
 
 from __future__ import annotations
@@ -21,12 +29,15 @@ import re
 from collections.abc import Iterable, Iterator
 from math import inf, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sheaf.llm.words import text_column
+from sheaf.llm.batches import ddl, mapped, place, plainly
+from sheaf.llm.words import buffers, text_column
 
-SHIFT, REMEMBER = 10, 300_000
+#: Zipf's shift, nodes of a trie, and bytes of text whose distinct pre-tokens are inserted at once.
+SHIFT, NODES, AT_ONCE = 10, 400_000, 1 << 21
 _PRE = re.compile(rb"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 
 
@@ -47,70 +58,74 @@ class Unigram:
             for b in reversed(piece):
                 node = node.setdefault(b, {})
             node[None] = -log(rank + SHIFT)
-        self.known: dict[bytes, int] = {}
-
-    def score_all(self, words: Iterable[bytes]) -> dict[bytes, int]:
-        """Counts of distinct words, in one walk over their trie (sorted order)."""
-        best, used = [0.0], [0]
-        before, out = b"", {}
-        for word in sorted(words):
-            shared, limit = 0, min(len(word), len(before))
-            while shared < limit and word[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :], used[shared + 1 :]
-            for j in range(shared, len(word)):
-                node, i = self.ends, j
+        self._begin()
+
+    def _begin(self) -> None:
+        """An empty trie. child: (node, byte) in one number to node; best and used: a node's forward state."""
+        self.child: dict[int, int] = {}
+        self.best, self.used = [0.0], [0]
+        self.terminal: dict[bytes, int] = {}
+
+    def insert(self, word: bytes) -> int:
+        """The count of a pre-token; nodes that its prefix shares with earlier ones keep their state."""
+        child, best, used, ends = self.child, self.best, self.used, self.ends
+        path = [0]
+        for j, b in enumerate(word):
+            key = path[j] << 8 | b
+            node = child.get(key)
+            if node is None:
+                at, i = ends, j
                 top, pieces = -inf, 0
                 while i >= 0:
-                    node = node.get(word[i])
-                    if node is None:
+                    at = at.get(word[i])
+                    if at is None:
                         break
-                    own = node.get(None)
+                    own = at.get(None)
                     if own is not None:
-                        s, n = best[i] + own, used[i] + 1
+                        s, n = best[path[i]] + own, used[path[i]] + 1
                         if s > top or (s == top and n < pieces):
                             top, pieces = s, n
                     i -= 1
+                node = child[key] = len(best)
                 best.append(top)
                 used.append(pieces)
-            out[word] = used[-1]
-            before = word
-        return out
-
-    def count(self, texts: list[str]) -> tuple[list[int], list[int]]:
-        """(pre-tokens, tokens) of each text."""
-        split = [_PRE.findall(t.encode()) for t in texts]
-        new = {w for s in split for w in s}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {}
-            new = {w for s in split for w in s}
-        self.known.update(self.score_all(new))
-        get = self.known.__getitem__
-        out = [len(s) for s in split], [sum(map(get, s)) for s in split]
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        return out
+            path.append(node)
+        self.terminal[word] = n = used[path[-1]]
+        return n
 
+    def score_all(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        """Counts of distinct words."""
+        return {w: self.insert(w) for w in words}
 
-_held: dict[int, Unigram] = {}
+    def count(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
+        """(pre-tokens, tokens) of each text."""
+        split = [_PRE.findall(t) for t in texts]
+        if len(self.best) > NODES:
+            self._begin()
+        for w in {w for s in split for w in s}.difference(self.terminal):
+            self.insert(w)
+        get = self.terminal.__getitem__
+        return [len(s) for s in split], [sum(map(get, s)) for s in split]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with n_pretokens and n_tokens. vocabulary: the path of a tiktoken file, read by the driver and sent to the tasks."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    docs = docs.drop("n_pretokens", "n_tokens")
-    names = docs.columns
-    key = hash(vocabulary)
+    new = ["n_pretokens", "n_tokens"]
+    named, names = plainly(docs, new)
+    t = place(names, text)
+    out_names = [*named.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _held:
-            _held.clear()
-            _held[key] = Unigram(ranks.value)
+        model = Unigram(ranks.value)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                pre, tokens = _held[key].count(text_column(part, text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=[*names, "n_pretokens", "n_tokens"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_pretokens long, n_tokens long")
+            at = 0
+            while at < len(batch):
+                places, data = buffers(text_column(batch.slice(at), t))
+                n = max(1, int(np.searchsorted(places, places[0] + AT_ONCE, "right")) - 1)
+                part = batch.slice(at, n)
+                pre, tokens = model.count([data[a:b].tobytes() for a, b in zip(places[:n], places[1 : n + 1], strict=True)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=out_names)
+                at += n
+
+    return mapped(named, run, ddl(named.schema) + ", n_pretokens long, n_tokens long").toDF(*names, *new)
