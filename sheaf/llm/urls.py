@@ -1,13 +1,21 @@
 """URL filter: host rules, then a logistic regression on hashed character n-grams.
 
-Host and path are parsed and rules are matched by built-in expressions; the
-model scores host and path bytes in Arrow batches. It is trained by the
-driver from a small labelled URL table (a few hundred rows at most), so the
-weights, one float for each of 2**BITS buckets, are all that tasks receive.
+Host and path are parsed by built-in expressions; the model scores host and path
+bytes in Arrow batches. It is trained by the driver from a small labelled URL
+table (a few hundred rows at most), whose sites are made up and shared with no
+data, so the weights, one float for each of 2**BITS buckets, and a fitted bias
+are all that tasks receive.
+
+Up to FEW rules are matched by built-in expressions. Longer lists are a table
+from host to its rules, in which each suffix of a url's host is looked up in the
+same pass that scores: a url costs as many look-ups as its host has parts. The
+list is the caller's, held by the driver and sent to the tasks as it is.
 
 Defined results: a null url, or one without "://", has an empty host and path,
-fits no rule and is allowed; repeated rows stay; other columns are carried
-along except those named host, path, rule, score or verdict, which are replaced.
+fits no rule and is allowed; of fitting rules of one length the last given wins;
+repeated rows stay; an empty table gives an empty table; urls may be of any
+length; other columns, whatever their names, are carried along except those
+named host, path, rule, score or verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import ddl, mapped, place, plainly
 from sheaf.llm.words import buffers, mix, text_column
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the path starts with the rule's.
@@ -30,28 +39,36 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: Labelled URLs for the model: 1 is a page to block.
+#: Labelled URLs for the model, made up from words that such sites use: 1 is a page to block.
 BLOCKED = (
-    "http://spam-farm.example.org/en/12", "https://www.spam-farm.example.com/fr/3", "http://spam-links.example.net/de/71.html", "https://link-farm.example.com/en/5/",
-    "http://cheap-pills.example.net/en/88", "https://www.cheap-pills.example.org/de/9?page=2", "http://buy-pills.example.com/en/41", "https://discount-pharma.example.net/fr/2",
-    "http://casino-win.example.com/en/17", "https://m.casino-win.example.net/es/204", "http://online-casino.example.org/en/3.html", "https://best-casino.example.com/fr/99",
-    "http://free-bets.example.org/fr/7", "https://blog.free-bets.example.net/en/450", "http://sport-bets.example.com/de/32", "https://poker-bets.example.org/en/6",
-    "http://ads-track.example.net/en/310", "https://www.ads-track.example.org/es/28", "http://click-track.example.com/en/2", "https://ads-server.example.net/fr/61",
-    "http://adult-x.example.com/en/640", "https://m.adult-x.example.org/de/52", "http://xxx-adult.example.net/en/19", "https://hot-xxx.example.com/fr/8",
-    "http://win-money.example.net/en/44", "https://fast-loans.example.com/en/71", "http://replica-watches.example.org/fr/15", "https://free-viagra.example.net/en/3",
+    "http://online-casino-bonus.test/play/17", "https://www.royalcasino.test/en/408?id=4", "http://casino-jackpots.invalid/en/spin", "https://lucky-casino.test/fr/204",
+    "http://poker-roulette.test/tables/3", "https://vip-slots.invalid/en/1520.html", "http://jackpot-winner.test/de/36", "https://win-big-now.invalid/prize/88",
+    "http://sports-betting-tips.test/odds", "https://bets-online.invalid/en/12", "http://free-betting-offers.test/signup", "https://bets365bonus.test/es/903",
+    "http://pills-online.test/order/cheap", "https://discount-pills.invalid/en/41", "http://cheap-meds.test/fr/7", "https://rx-pharmacy-cheap.invalid/cialis?qty=90",
+    "http://buy-cheap-viagra.test/en/2277/", "https://weight-loss-pills.invalid/offer", "http://cheapest-replica.test/de/15", "https://cheap-handbags.invalid/outlet",
+    "http://adult-chat.test/en/640", "https://xxx-videos.invalid/hot/8", "http://adults-only.test/fr/71#top", "https://www.adult-dating.invalid/join", "http://x-rated.test/gallery/52",
+    "http://sex-cams.test/es/7", "https://hot-singles.invalid/near-you", "http://ads-server.test/banner/310", "https://adclick-tracker.invalid/en/28?page=2", "http://track-clicks.test/de/2",
+    "https://popup-ads.invalid/fr/61", "http://tracking-pixel.test/px.gif", "http://spamblog.test/links/12", "https://spam-links.invalid/en/3", "http://link-farm.test/es/71.html",
+    "https://content-farm.invalid/en/5105", "http://seo-spam.test/backlinks", "https://free-money-fast.invalid/44", "http://payday-loans.test/de/19", "https://crypto-doubler.invalid/send",
 )
 ALLOWED = (
-    "http://www.library.example.org/en/12", "https://news.example.com/fr/3", "http://blog.thering.example.net/de/71.html", "https://thther.example.com/en/5/",
-    "http://university.example.net/en/88", "https://www.tionble.example.org/de/9?page=2", "http://museum.example.com/en/41", "https://m.ththth.example.net/fr/2",
-    "http://therin.example.com/en/17", "https://weather.example.net/es/204", "http://blog.ththan.example.org/en/3.html", "https://recipes.example.com/fr/99",
-    "http://garden.example.org/fr/7", "https://blog.tionsh.example.net/en/450", "http://docs.project.example.com/de/32", "https://www.ththwh.example.org/en/6",
-    "http://history.example.net/en/310", "https://www.therti.example.org/es/28", "http://maps.example.com/en/2", "https://science.example.net/fr/61",
-    "http://tiontion.example.com/en/640", "https://m.thered.example.org/de/52", "http://school.example.net/en/19", "https://city-council.example.com/fr/8",
-    "http://book-club.example.net/en/44", "https://open-data.example.com/en/71", "http://thonon.example.org/fr/15", "https://wiki.therea.example.net/en/3",
-    "https://ththre.example.com/fr/825", "http://therou.example.net/de/474", "https://thnder.example.org/es/533", "http://ereath.example.com/en/978",
+    "http://www.city-library.test/catalogue/12", "https://news.daily-post.invalid/world/3", "http://blog.gardeners.test/spring/71.html", "https://weather-report.test/forecast/5/",
+    "http://university.invalid/courses/88", "https://www.museum-guide.test/rooms/9?page=2", "http://history-notes.invalid/en/41", "https://m.recipes.test/soup/2",
+    "http://open-data.invalid/tables/17", "https://town-council.test/minutes/204", "http://docs.software.invalid/manual/3.html", "https://maps.test/fr/99", "http://railway-times.invalid/de/7",
+    "https://wiki.astronomy.test/stars/450", "http://school-board.invalid/calendar/32", "https://book-club.test/reviews/6", "http://physics-forum.invalid/thread/310", "https://www.film-archive.test/es/28",
+    "http://music-lessons.invalid/piano/2", "https://science-weekly.test/fr/61", "http://health-service.invalid/advice/640", "https://m.travel-diary.test/de/52", "http://language-school.invalid/en/19",
+    "https://hiking-trails.test/map/8", "http://farmers-market.invalid/stalls/44", "https://water-supply.test/en/71", "http://national-archive.invalid/fr/15", "https://public-radio.test/programme/3",
+    "https://www.chess-club.invalid/games/825", "http://botanical-garden.test/de/474", "https://ocean-research.invalid/es/533", "http://village-hall.test/events/978", "http://mathematics.invalid/en/12",
+    "https://the-herald.test/en/2201", "http://north-shore.invalid/fr/18", "https://then-and-now.test/de/33", "http://other-stories.invalid/en/501", "https://another-path.test/es/9", "http://winter-tales.invalid/en/64",
+    "https://www.orchestra.test/season/4", "http://bicycle-repair.invalid/guide", "https://early-music.test/en/77.html", "http://river-watch.invalid/levels#top", "https://kitchen-notes.test/fr/8?ref=x", "http://parents-forum.invalid/en/3056",
+    "https://blog.theatre.test/en/4110", "http://station.invalid/de/2718/", "https://nation-atlas.test/fr/612", "http://tradition.invalid/en/835?page=2", "https://m.rhythm.test/en/9001", "http://thread-and-thimble.invalid/es/41",
+    "https://threshold.test/en/1200#top", "http://www.heathland.invalid/fr/6604", "https://thorn-hill.test/de/87.html", "http://shetland.invalid/en/5120/", "https://theory.test/en/640", "http://method.invalid/fr/229",
+    "https://notion.test/de/3?utm_source=feed", "http://www.edition.invalid/en/7111", "https://birthday-cards.test/es/350",
 )
 
 SIZES, BITS = (3, 4, 5), 14
+#: Rules that are matched by expressions; more are looked up.
+FEW = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -126,31 +143,64 @@ def parts(url: str) -> tuple[str, str]:
     return rest[:end].translate(str.maketrans(_UPPER, _LOWER)), rest[end:stop]
 
 
-def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, steps: int = 400, rate: float = 2.0, ridge: float = 1e-3, prior: float = -1.5) -> Model:
-    """Logistic regression by full gradient steps over the labelled URLs; prior: the log odds of a URL of which nothing is known."""
+def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, steps: int = 3000, rate: float = 2.0, ridge: float = 1e-4) -> Model:
+    """Logistic regression by full gradient steps over the labelled URLs; the bias is fitted without a ridge."""
     pairs = [parts(u) for u in (*blocked, *allowed)]
     y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
     rows, buckets, values = _features(pa.array([h for h, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string()))
-    w, b = np.zeros(1 << BITS), prior
+    w, b = np.zeros(1 << BITS), 0.0
     for _ in range(steps):
         z = np.bincount(rows, weights=w[buckets] * values, minlength=len(y)) + b
         off = 1 / (1 + np.exp(-z)) - y
         w -= rate * (np.bincount(buckets, weights=off[rows] * values, minlength=len(w)) / len(y) + ridge * w)
+        b -= rate * off.mean()
     return Model(w, b)
 
 
+class Rules:
+    """Host to its rules, longest first, for lists too long for expressions."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str]]) -> None:
+        self.of: dict[str, list[tuple[int, int, str, str]]] = {}
+        for k, (h, p, v) in enumerate(rules):
+            self.of.setdefault(h, []).append((len(h + p), k, p, v))
+        for own in self.of.values():
+            own.sort(reverse=True)
+
+    def rule(self, host: str, path: str) -> tuple[str | None, str | None]:
+        best: tuple[int, int, str | None, str | None] = (-1, -1, None, None)
+        at = 0
+        while True:
+            suffix = host[at:]
+            for size, k, p, v in self.of.get(suffix, ()):
+                if path.startswith(p):
+                    best = max(best, (size, k, suffix + p, v))
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                return best[2], best[3]
+
+
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: Model | None = None, limit: float = 0.5) -> DataFrame:
     """pages with host, path, rule, score (of blocking, by the model) and verdict ("allow" or "block")."""
-    held = pages.sparkSession.sparkContext.broadcast(model or train())
-    base = pages.drop("host", "path", "rule", "score", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    names = base.columns
+    context = pages.sparkSession.sparkContext
+    held = context.broadcast(model or train())
+    many = context.broadcast(Rules(rules)) if len(rules) > FEW else None
+    new = ["host", "path", "rule", "score", "verdict"]
+    named, names = plainly(pages, new)
+    u = place(names, url)
+    base = named.withColumns({"host": host_of(F.col(u)), "path": path_of(F.col(u))})
+    out_names = [*base.columns, "score", "rule", "said"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = held.value.score(text_column(batch, "host"), text_column(batch, "path"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
+            host, path = text_column(batch, "host"), text_column(batch, "path")
+            found = [many.value.rule(h, p) for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True)] if many else [(None, None)] * len(batch)
+            said = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(host, path), pa.float64()), *said], names=out_names)
 
-    scored = base.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", score double")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    scored = mapped(base, run, ddl(base.schema) + ", score double, rule string, said string")
+    rule, verdict = (F.col("rule"), F.col("said")) if many else rule_of(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("score") >= limit) & (F.col("host") != ""), "block").otherwise("allow")
-    return scored.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)})
+    scored = scored.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)})
+    return scored.select(*named.columns, *new).toDF(*names, *new)
