@@ -10,13 +10,15 @@ Fitting reads a bounded sample: at most ``sample`` labelled rows in all, as
 many for each language (four standard deviations less are aimed at), those
 whose id's hash falls below the language's share. What is
 collected is the n-grams of that sample in at least ``least`` rows, at most
-``top`` a language. Prediction is one pass without a shuffle.
+``top`` a language; of more languages than ``sample``, the most frequent are
+learned. Prediction is one pass without a shuffle.
 
 Defined results: null text or text without a letter is "und" with score 0; a
 text none of whose n-grams is known gets the most frequent language with score
 0; without labelled rows all texts are "und"; ties go to the language with more
-labelled rows, then by name; repeated rows stay; labels and sources are not read
-when predicting.
+labelled rows, then by name; repeated rows stay; an empty table gives an empty
+table; labels and sources are not read when predicting; other columns, whatever
+their names, are carried along.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import ddl, mapped, place, plainly
 from sheaf.llm.words import RUN_BYTES, buffers, mix, text_column
 
 SIZES = (3, 4, 5)
@@ -148,7 +151,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
                     g, n = np.unique(h[code == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["k", "gram", "n"])
 
-    table = chosen.select("id", "lang", "text").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    table = mapped(chosen.select("id", "lang", "text"), count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     k, gram, n = (table.column(i).to_numpy() for i in range(3))
     size = np.array([min(each, known[x]) for x in order], float)
     grams, where = np.unique(gram, return_inverse=True)
@@ -171,13 +174,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the winner's part of all languages' counts (columns of these names are replaced)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    named, names = plainly(docs, ["lang_pred", "score"])
+    t = place(names, text)
+    out_names = [*named.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            col = text_column(batch, text)
+            col = text_column(batch, t)
             letters = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False)
             if model.languages:
                 counts = model.counts(col)[:, :-1]
@@ -186,9 +190,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 lang = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             else:
                 score, lang = np.zeros(len(col)), ["und"] * len(col)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=out_names)
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double")
+    return mapped(named, run, ddl(named.schema) + ", lang_pred string, score double").toDF(*names, "lang_pred", "score")
 
 
 def in_fold(doc_id: str, folds: int, fold: int) -> Column:

@@ -23,7 +23,8 @@ the mark and is read as U+E001 where a text holds it, which no pattern matches.
 
 Defined results: null text has no spans; repeated rows are handled each by
 itself, but equal texts count once, so copies of a document disclose nothing by
-their number; other columns are carried along by sanitise.
+their number; an empty table gives an empty table; texts may be of any length;
+other columns, whatever their names, are carried along by sanitise.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.scratch import stash
+from sheaf.llm.batches import place, plainly
+from sheaf.llm.scratch import discard, stash
 
 #: Kinds in the order of equal starts.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -166,6 +168,8 @@ def _text_hash(text: Column) -> Column:
 
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row (numbered, without the text) for each document: base spans, and its distinct entities and terms. Written out."""
+    named, names = plainly(docs)
+    docs, doc_id, text = named, place(names, doc_id), place(names, text)
     terms = F.array_distinct(F.transform(F.regexp_extract_all("outside", F.lit(_TERM), F.lit(0)), F.lower))
     entities = F.array_distinct(F.transform("base", _entity))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), _text_hash(F.col(text)).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -232,7 +236,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: fl
         return own.withColumn("spans", F.col("base"))
     hits = _meet(base.select("doc_id", "of", F.explode("terms").alias("term")), terms, ["term"])
     hits = stash(hits.groupBy("doc_id", "of").agg(F.collect_set("term").alias("hit")), "pii-hits")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("of", _text_hash(F.col("text")))
+    named, names = plainly(docs)
+    texts = named.select(F.col(place(names, doc_id)).alias("doc_id"), F.col(place(names, text)).alias("text")).withColumn("of", _text_hash(F.col("text")))
     texts = _meet(texts, hits, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
     texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
     places = occurrences(_outside(F.col("text"), F.col("base")), _TERM, lambda x: F.array_contains("hit", F.lower(x)))
@@ -262,15 +267,17 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names:
     Overlapping spans are cut at the end of the one that starts first.
     """
     general = {k: f"<{k.upper()}>" for k in KINDS} | (names or {})
-    own = spans(docs, text, doc_id)
+    named, own_names = plainly(docs)
+    i, t = place(own_names, doc_id), place(own_names, text)
+    own = spans(named, t, i)
     own = own.where(F.size("spans") > 0).dropDuplicates(["doc_id", "of"])
-    cuts = stash(own.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), _cuts(F.col("spans")).alias("_cuts")), "pii-cuts")
-    size = cuts.agg(F.sum(F.size("_cuts") * 24 + 64)).first()[0] or 0
+    cuts = stash(own.select("doc_id", "of", _cuts(F.col("spans")).alias("cuts")), "pii-cuts")
+    size = cuts.agg(F.sum(F.size("cuts") * 24 + 64 + F.length(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).first()[0] or 0
     side = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
     labels = F.array(*[F.lit(general[k]) for k in KINDS])
-    joined = docs.join(side, docs[doc_id].eqNullSafe(cuts["_id"]) & (_text_hash(docs[text]) == cuts["_of"]), "left")
-    t = F.col(text)
-    piece = lambda c: F.concat(F.substring(t, c["upto"] + 1, F.greatest(F.lit(0), c["start"] - c["upto"])), F.get(labels, c["kind"]))
-    rest = F.substring(t, F.element_at("_cuts", -1)["end"] + 1, F.length(t))
-    new = F.when(F.col("_cuts").isNull(), t).otherwise(F.concat(F.array_join(F.transform("_cuts", piece), ""), rest))
-    return joined.withColumn(text, new).select(*docs.columns)
+    joined = named.join(side, named[i].eqNullSafe(cuts["doc_id"]) & (_text_hash(named[t]) == cuts["of"]), "left")
+    whole = F.col(t)
+    piece = lambda c: F.concat(F.substring(whole, c["upto"] + 1, F.greatest(F.lit(0), c["start"] - c["upto"])), F.get(labels, c["kind"]))
+    rest = F.substring(whole, F.element_at("cuts", -1)["end"] + 1, F.length(whole))
+    new = F.when(F.col("cuts").isNull(), whole).otherwise(F.concat(F.array_join(F.transform("cuts", piece), ""), rest))
+    return joined.withColumn(t, new).select(*named.columns).toDF(*own_names)
