@@ -12,8 +12,8 @@ than once matter, and those are found without listing all edges:
 2. Minimisers found more than once stay. A content found more than once is a
    repeated path; where a minimiser has several contents, paths branch inside
    of pieces, and the windows of each content are compared singly.
-3. One source place of each of these contents is read again. It gives the end
-   nodes of a path, its first and last edge, and a digest of its words.
+3. One source place of each repeated path and window is read again. It gives
+   the end nodes, the first and last edge, and a digest of the words.
 4. Compaction. Spark aggregates the edges that lead into and out of each end
    node. Where one edge comes in and one goes out, the paths that meet are one:
    along their source text by place, and between sources by a join on the node,
@@ -24,7 +24,7 @@ than once matter, and those are found without listing all edges:
    they cover are removed.
 
 Pieces and windows are found by 128 bits of hashes and verified by 128 bits of
-BLAKE2b over their words (64 for single windows). A passage would be missed
+BLAKE2b over their words. A passage would be missed
 only if the hashes of different passages collided; none is removed for it.
 
 Joins are on keys with one row on one side, both sides written tables where a
@@ -130,7 +130,8 @@ def _few(table: DataFrame, width: int) -> DataFrame:
 
 
 _PLACE = pa.struct([("row", pa.int64()), ("at", pa.int64())])
-_READ = "anchor long, content long, row long, start int, n int, head long, first long, tail long, last long, weight long, digest binary"
+_WINDOWS = "anchor long, content long, row long, start int, weight int"
+_EDGES = "anchor long, content long, row long, start int, n int, head long, first long, tail long, last long, digest binary"
 
 
 class _Graph:
@@ -182,47 +183,60 @@ class _Graph:
         discard(touched)
         return met, contents
 
-    def read(self, contents: DataFrame) -> DataFrame:
-        """Contents read at their source. Written out.
+    def _sources(self, places: DataFrame, name: str) -> DataFrame:
+        """row, text and the list of places (structs of anchor, content, at, ...) asked of each text."""
+        asked = stash(places.groupBy("row").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "row"])).alias("places")), name)
+        rows = _few(asked.select("row"), 16)
+        return self.texts.join(rows, "row", "left_semi").join(asked, "row").select("row", "text", "places")
 
-        A row for each that repeats (weight 0): end nodes, first and last
-        edge, digest. A row for each window of one whose minimiser branches:
-        content is the window's hash, weight 1 or (if the content repeats) 2.
-        """
+    def windows(self, contents: DataFrame) -> DataFrame:
+        """The windows of contents whose minimiser branches, read at their source: content is a window's hash, weight 1 or (if the content repeats) 2. Written out."""
         size = self.size
-        asked = contents.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "at", "total", "branches")).alias("places"))
-        asked = stash(asked, "asked")
-        rows = _few(asked.select("row"), 16)
-        joined = self.texts.join(rows, "row", "left_semi").join(asked, "row").select("row", "text", "places")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                number, asked = batch.column(0).to_pylist(), batch.column(2)
-                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(10)]
-                digests: list[bytes] = []
-
-                def add(count: int, *values, out=out) -> None:
-                    for k, v in enumerate(values):
-                        out[k].append(np.full(count, v) if np.isscalar(v) else v)
+                number, asked = batch.column(0).to_numpy(), batch.column(2)
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+                for r in runs(text_column(batch, "text"), NOT_SPACE):
+                    w = window_hashes(r.hashes(), size).view(np.int64)
+                    for d in range(r.rows.start, r.rows.stop):
+                        x = asked[d].values
+                        at = x.field("at").to_numpy()
+                        begin, n = at >> _WINDOW_BITS, (at & ((1 << _WINDOW_BITS) - 1)) + 1
+                        each = np.repeat(np.arange(len(at)), n)
+                        p = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                        for k, v in enumerate((x.field("anchor").to_numpy()[each], w[r.first[d - r.rows.start] + p], np.full(len(p), number[d]), p, x.field("weight").to_numpy()[each])):
+                            out[k].append(v)
+                columns = [np.concatenate(x).astype(np.int32 if k > 2 else np.int64) for k, x in enumerate(out)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["anchor", "content", "row", "start", "weight"])
+
+        asked = contents.where("branches").select("row", "anchor", "at", F.least("total", F.lit(2)).cast("int").alias("weight"))
+        return stash(mapped(self._sources(asked, "asked"), run, _WINDOWS), "windows")
+
+    def edges(self, places: DataFrame) -> DataFrame:
+        """Repeated contents and windows (anchor, content, row, at) with n, end nodes, first and last edge and digest, read at their source. Written out."""
+        size = self.size
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number, asked = batch.column(0).to_numpy(), batch.column(2)
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(9)]
+                digests: list[bytes] = []
                 for r in runs(text_column(batch, "text"), NOT_SPACE):
                     h = r.hashes()
                     w, nodes = window_hashes(h, size).view(np.int64), mix(window_hashes(h, size - 1), _NODE).view(np.int64)
                     for d in range(r.rows.start, r.rows.stop):
-                        base, words = int(r.first[d - r.rows.start]), _split(r, d - r.rows.start)
-                        for x in asked[d].as_py():
-                            start, n = x["at"] >> _WINDOW_BITS, (x["at"] & ((1 << _WINDOW_BITS) - 1)) + 1
-                            p, q = base + start, base + start + n
-                            if x["total"] > 1:
-                                add(1, x["anchor"], x["content"], number[d], start, n, nodes[p : p + 1], w[p : p + 1], nodes[q : q + 1], w[q - 1 : q], 0)
-                                digests.append(_digest(words[start : start + n + size - 1]))
-                            if x["branches"]:
-                                add(n, x["anchor"], w[p:q], number[d], np.arange(start, start + n), 1, nodes[p:q], w[p:q], nodes[p + 1 : q + 1], w[p:q], min(x["total"], 2))
-                                digests += [_digest(words[i : i + size])[:8] for i in range(start, start + n)]
+                        words, x = _split(r, d - r.rows.start), asked[d].values
+                        at = x.field("at").to_numpy()
+                        begin, n = at >> _WINDOW_BITS, (at & ((1 << _WINDOW_BITS) - 1)) + 1
+                        p = r.first[d - r.rows.start] + begin
+                        for k, v in enumerate((x.field("anchor").to_numpy(), x.field("content").to_numpy(), np.full(len(p), number[d]), begin, n, nodes[p], w[p], nodes[p + n], w[p + n - 1])):
+                            out[k].append(v)
+                        digests += [_digest(words[i : i + k]) for i, k in zip(begin.tolist(), (n + size - 1).tolist(), strict=True)]
                 columns = [np.concatenate(x).astype(np.int32 if k in (3, 4) else np.int64) for k, x in enumerate(out)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=["anchor", "content", "row", "start", "n", "head", "first", "tail", "last", "weight", "digest"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=["anchor", "content", "row", "start", "n", "head", "first", "tail", "last", "digest"])
 
-        return stash(mapped(joined, run, _READ), "read")
+        return stash(mapped(self._sources(places, "asked"), run, _EDGES), "edges")
 
     def paths(self, edges: DataFrame) -> DataFrame:
         """(anchor, content, path) of repeated paths and windows (edges, written: one row for each), compacted where no end node branches."""
@@ -247,42 +261,36 @@ class _Graph:
     def occurrences(self) -> DataFrame:
         """(row, found): for each text with a repeated window, what was found in it: start, n (windows), path, digest. Not verified."""
         met, contents = self.met()
-        read = self.read(contents)
-        whole = read.where("weight = 0")
-        windows = read.where("weight > 0")
-        often = windows.groupBy("anchor", "content", "digest").agg(F.sum("weight").alias("n_found"), F.min(F.struct("row", "start", "head", "first", "tail", "last")).alias("s")).where("n_found > 1")
-        often = stash(often.select("anchor", "content", "digest", "s"), "often")
-        edge = ["anchor", "content", "row", "start", "n", "head", "first", "tail", "last"]
-        single = often.select("anchor", "content", "s.row", "s.start", F.lit(1).alias("n"), "s.head", "s.first", "s.tail", "s.last")
-        edges = stash(whole.select(edge).unionByName(single), "edges")
-        path = stash(self.paths(edges).dropDuplicates(["anchor", "content"]), "paths")
-
-        known = stash(whole.select("anchor", "content", "digest").join(path, ["anchor", "content"]), "known")
+        windows = self.windows(contents)
+        often = windows.groupBy("anchor", "content").agg(F.sum("weight").alias("found"), F.min(F.struct("row", "start")).alias("s")).where("found > 1")
+        often = stash(often.select("anchor", "content", "s.row", F.shiftleft(F.col("s.start").cast("long"), _WINDOW_BITS).alias("at")), "often")
+        edges = self.edges(contents.where("total > 1").select("row", "anchor", "content", "at").unionByName(often.select("row", "anchor", "content", "at")))
+        path = self.paths(edges)
+        # A content of one window has the hash of a content and that of a window, which differ: each row is of one kind.
+        known = stash(edges.select("anchor", "content", "digest").join(path, ["anchor", "content"]).dropDuplicates(["anchor", "content"]), "known")
+        few = _few(known, 56)
         places = F.explode(F.concat(F.array(F.struct("row", "at")), F.coalesce(F.col("more"), F.array().cast("array<struct<row:long,at:long>>")))).alias("p")
-        wholly = met.select("anchor", "content", "row", "at", "more").join(_few(known, 56), ["anchor", "content"]).select("path", "digest", places)
+        wholly = met.select("anchor", "content", "row", "at", "more").join(few, ["anchor", "content"]).select("path", "digest", places)
         wholly = wholly.select("p.row", _begin(F.col("p.at")).alias("start"), _windows(F.col("p.at")).alias("n"), "path", "digest")
-        hits = windows.where("weight = 1").join(_few(often.select("anchor", "content", "digest"), 48), ["anchor", "content", "digest"]).join(_few(path, 40), ["anchor", "content"])
-        hits = hits.select("row", "start", "n", "path", "digest")
+        hits = windows.where("weight = 1").join(few, ["anchor", "content"]).select("row", "start", F.lit(1).alias("n"), "path", "digest")
         found = wholly.unionByName(hits).groupBy("row").agg(F.collect_list(F.struct("start", "n", "path", "digest")).alias("found"))
         out = stash(found, "found")
-        discard(met, contents, read, often, edges, path, known)
+        discard(met, contents, windows, often, edges, known)
         return out
 
 
-def _passages(words: list[bytes], found: list[dict], size: int) -> tuple[np.ndarray, list[dict]]:
+def _passages(words: list[bytes], found: pa.StructArray, size: int) -> tuple[np.ndarray, list[dict]]:
     """Of a text's words: the covered ranges, and maximal verified spans with the name of their path."""
     ok = []
-    for x in sorted(found, key=lambda x: (x["start"], x["n"])):
-        own = _digest(words[x["start"] : x["start"] + x["n"] + size - 1])
-        if own[: len(x["digest"])] == x["digest"]:
-            ok.append(x)
+    for start, n, path, digest in sorted(zip(*(found.field(k).to_pylist() for k in range(4)), strict=True)):
+        if _digest(words[start : start + n + size - 1]) == digest:
+            ok.append((start, start + n + size - 1, path))
     spans: list[dict] = []
-    for x in ok:
-        a, b = x["start"], x["start"] + x["n"] + size - 1
-        if spans and spans[-1]["path"] == x["path"] and a <= spans[-1]["end"]:
+    for a, b, path in ok:
+        if spans and spans[-1]["path"] == path and a <= spans[-1]["end"]:
             spans[-1]["end"] = max(b, spans[-1]["end"])
         else:
-            spans.append({"start": a, "end": b, "path": x["path"]})
+            spans.append({"start": a, "end": b, "path": path})
     return _glued(np.array([[x["start"], x["end"]] for x in spans], np.int64).reshape(-1, 2)), spans
 
 
@@ -310,8 +318,8 @@ def without_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, ancho
                 out: list[list] = [[], [], [], [], []]
                 for d in range(r.rows.stop - r.rows.start):
                     words = _split(r, d)
-                    here = asked[r.rows.start + d].as_py() if asked is not None else None
-                    ranges, spans = _passages(words, here, size) if here else (np.zeros((0, 2), np.int64), [])
+                    here = asked[r.rows.start + d].values if asked is not None else None
+                    ranges, spans = _passages(words, here, size) if here is not None else (np.zeros((0, 2), np.int64), [])
                     pairs, left, upto = ranges.tolist(), [], 0
                     for x, y in pairs:
                         left += words[upto:x]
