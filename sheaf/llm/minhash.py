@@ -19,9 +19,10 @@
    differences from the leader, so they meet in a join on its rarest ones. Nodes
    far from their leader, and those that the triangle inequality (Jaccard
    distance is a metric) lets be similar to one, meet in a join on the rarest
-   shingles of their sets, of which similar sets share one. No pair of a bucket
-   is left open, no bucket's pairs are listed, and a bucket of n copies costs
-   about n comparisons.
+   shingles of their sets, of which similar sets share one; one bit of each
+   signature byte, bounded in the same way, decides there which meet. No pair
+   of a bucket is left open, no bucket's pairs are listed, and a bucket of n
+   copies costs about n comparisons.
 
 A pair with similarity 0.8 shares no bucket with probability
 (1 - 0.8**ROWS)**BANDS, about 1e-7; that and MISS are all that can lose a link.
@@ -66,6 +67,9 @@ NEAR = 0.4
 _TEXT_BITS = 10
 _HASH_BITS = 64 - _TEXT_BITS
 
+#: One bit of each signature byte, in four numbers.
+_BITS = [f"bits_{k}" for k in range(4)]
+
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -150,6 +154,11 @@ def least_matches(n: int, similarity: float, miss: float = MISS) -> int:
     return int(np.argmax(_tails(n, np.array([_rate(similarity)]))[0] >= miss))
 
 
+def least_bits(similarity: float, miss: float = MISS) -> int:
+    """The fewest equal bits, one of each signature byte, with which similarity is not ruled out."""
+    return int(np.argmax(_tails(BANDS * ROWS, np.array([similarity + (1 - similarity) / 2]))[0] >= miss))
+
+
 def bounds(miss: float = MISS) -> list[tuple[float, float]]:
     """For each number of matches of a whole signature: what the similarity is not below and not above, but for miss."""
     steps = np.linspace(0, 1, 401)
@@ -311,7 +320,7 @@ class _Search:
         few = _few(component)
         of = lambda df, node, name: df.join(few.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
         placed = of(of(exact, "a", "component"), "b", "led")
-        left = self._by_differences(placed).unionByName(self._by_shingles(still, against, exact, of, low, high)).distinct()
+        left = self._by_differences(placed).unionByName(self._by_shingles(still, against, exact, sigs, of, low, high)).distinct()
         third = stash(self.compared(left, sigs).where("alive").select("a", "b"), "pairs")
         discard(still, against, maybe, exact)
         if not third.isEmpty():
@@ -355,7 +364,7 @@ class _Search:
         met = ranked.select("b", "side", "x", "a", "component", "w", "size", "nth").join(asked, ["b", "side", "x"]).where(both)
         return met.select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
 
-    def _by_shingles(self, still: DataFrame, against: DataFrame, exact: DataFrame, of, low: Column, high: Column) -> DataFrame:
+    def _by_shingles(self, still: DataFrame, against: DataFrame, exact: DataFrame, sigs: DataFrame, of, low: Column, high: Column) -> DataFrame:
         """Pairs of a node far from its leader with any node that the triangle inequality lets be similar to a far one of its bucket.
 
         Two sets of n and n' elements are similar only if they share
@@ -376,19 +385,26 @@ class _Search:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [x.view(np.int64) for x in elements(text_column(batch, "text"), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "xs"])
-
-        sets = mapped(self._texts(asked.select("id")), run, f"id {self.kind}, xs array<long>")
-        rows = stash(sets.join(_few(asked), "id").select("id", "far", "component", F.size("xs").alias("n"), F.explode("xs").alias("x")), "far-sets")
+                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS)
+                packed = np.zeros((len(batch), 32), np.uint8)
+                packed[:, : BANDS * ROWS // 8] = np.packbits(sig & 1, axis=1)
+                bits = packed.view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=["id", "xs", *_BITS])
+
+        texts = self._texts(asked.select("id")).join(sigs.join(_few(asked.select("id")), "id", "left_semi"), "id").select("id", "text", "sig")
+        sets = mapped(texts, run, f"id {self.kind}, xs array<long>, {', '.join(f'{b} long' for b in _BITS)}")
+        rows = stash(sets.join(_few(asked), "id").select("id", "far", "component", *_BITS, F.size("xs").alias("n"), F.explode("xs").alias("x")), "far-sets")
         often = stash(rows.groupBy("x").agg(F.count("*").alias("often")), "often")
         order = Window.partitionBy("id", "n").orderBy("often", "x")
         ranked = rows.join(_few(often), "x").withColumn("nth", F.row_number().over(order))
         least = F.ceil(F.col("n") * self.percent / 100)
         ranked = stash(ranked.where((F.col("often") > 1) & (F.col("nth") <= F.col("n") - least + 1)).drop("often"), "far-ranked")
-        u = ranked.where("far").select("x", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"))
+        u = ranked.where("far").select("x", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"), *[F.col(b).alias(f"{b}_u") for b in _BITS])
         shared = F.ceil((F.col("n") + F.col("n_u")) * (self.percent / (100 + self.percent)) - 1e-9)
         both = (F.col("component") != F.col("of_u")) & (F.col("nth") <= F.col("n") - shared + 1) & (F.col("nth_u") <= F.col("n_u") - shared + 1)
-        met = ranked.join(u, "x").where(both)
+        once = ~F.col("far") | (F.col("id") < F.col("u"))
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_u"))) for b in _BITS), F.lit(0))
+        met = ranked.join(u, "x").where(both & once & (differ <= BANDS * ROWS - least_bits(self.similarity)))
         return met.select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b"))
 
 
