@@ -394,11 +394,12 @@ class _Search:
         texts = self._texts(asked.select("id")).join(sigs.join(_few(asked.select("id")), "id", "left_semi"), "id").select("id", "text", "sig")
         sets = mapped(texts, run, f"id {self.kind}, xs array<long>, {', '.join(f'{b} long' for b in _BITS)}")
         rows = stash(sets.join(_few(asked), "id").select("id", "far", "component", *_BITS, F.size("xs").alias("n"), F.explode("xs").alias("x")), "far-sets")
-        often = stash(rows.groupBy("x").agg(F.count("*").alias("often")), "often")
-        order = Window.partitionBy("id", "n").orderBy("often", "x")
-        ranked = rows.join(_few(often), "x").withColumn("nth", F.row_number().over(order))
+        often = stash(rows.groupBy("x").agg(F.count("*").alias("often"), F.max("far").alias("met")).where("often > 1"), "often")
+        of_set = Window.partitionBy("id", "n")
+        ranked = rows.join(_few(often), "x")  # elements of one set alone come first and are only counted
+        ranked = ranked.withColumn("nth", F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("often", "x")))
         least = F.ceil(F.col("n") * self.percent / 100)
-        ranked = stash(ranked.where((F.col("often") > 1) & (F.col("nth") <= F.col("n") - least + 1)).drop("often"), "far-ranked")
+        ranked = stash(ranked.where(F.col("met") & (F.col("nth") <= F.col("n") - least + 1)).drop("often", "met"), "far-ranked")
         u = ranked.where("far").select("x", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"), *[F.col(b).alias(f"{b}_u") for b in _BITS])
         shared = F.ceil((F.col("n") + F.col("n_u")) * (self.percent / (100 + self.percent)) - 1e-9)
         both = (F.col("component") != F.col("of_u")) & (F.col("nth") <= F.col("n") - shared + 1) & (F.col("nth_u") <= F.col("n_u") - shared + 1)
