@@ -14,6 +14,11 @@ def keyed_sum(df: DataFrame, *keys: str | Column, value: Column, name: str = "to
     return df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(name))
 
 
+def keyed_product(df: DataFrame, *keys: str | Column, value: Column, name: str = "product", **sums: Column) -> DataFrame:
+    """What m[k] *= value leaves of 1 (a null value changes nothing), with sums beside it."""
+    return df.groupBy(*keys).agg(F.coalesce(F.product(value), F.lit(1.0)).alias(name), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()])
+
+
 def keyed_mean(df: DataFrame, *keys: str | Column, value: Column, name: str = "mean") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(name))
 

@@ -59,25 +59,27 @@ class Ordered:
         return self._with(before).select(*self.columns, (F.col("_before") + F.coalesce(own, F.lit(0))).alias(name))
 
     def previous(self, value: Column, name: str = "previous", default=None) -> DataFrame:
-        borders = self._borders(v=F.max_by(value, _AT), n=F.count("*"))
+        borders = self._borders(v=F.max_by(F.struct(value.alias("x")), _AT))  # a struct tells a null value from no record
         before = borders.select(_PART, F.lag("v").over(Window.orderBy(_PART)).alias("_before"))
         own = F.lag(value).over(_spec([_AT], [_PART]))
-        got = F.when(F.col(_AT) == 0, F.coalesce(F.col("_before"), F.lit(default))).otherwise(own)
+        first = F.when(F.col("_before").isNull(), F.lit(default)).otherwise(F.col("_before.x"))
+        got = F.when(F.col(_AT) == 0, first).otherwise(own)
         return self._with(before).select(*self.columns, got.alias(name))
 
     def following(self, value: Column, name: str = "following", default=None) -> DataFrame:
-        borders = self._borders(v=F.min_by(value, _AT), last=F.max(_AT))
+        borders = self._borders(v=F.min_by(F.struct(value.alias("x")), _AT), last=F.max(_AT))
         after = borders.select(_PART, F.col("last").alias("_last"), F.lead("v").over(Window.orderBy(_PART)).alias("_after"))
         own = F.lead(value).over(_spec([_AT], [_PART]))
-        got = F.when(F.col(_AT) == F.col("_last"), F.coalesce(F.col("_after"), F.lit(default))).otherwise(own)
+        last = F.when(F.col("_after").isNull(), F.lit(default)).otherwise(F.col("_after.x"))
+        got = F.when(F.col(_AT) == F.col("_last"), last).otherwise(own)
         return self._with(after).select(*self.columns, got.alias(name))
 
-    def ranges(self, start: Column, stop: Column, classic: bool = False) -> DataFrame:
+    def ranges(self, start: Column, stop: Column, classic: bool = False, name: str = "in_range") -> DataFrame:
         state = F.when(stop, 0).when(start, 1)
         borders = self._borders(v=F.max_by(state, F.when(state.isNotNull(), F.col(_AT))))
         before = borders.select(_PART, F.last("v", ignorenulls=True).over(self._earlier()).alias("_before"))
         open_ = F.coalesce(F.last(state, ignorenulls=True).over(_before([_AT], [_PART])), F.col("_before")) == 1
-        return self._with(before).withColumn("_open", F.coalesce(open_, F.lit(False))).where(_hit(start, stop, classic)).select(*self.columns)
+        return self._with(before).withColumn("_open", F.coalesce(open_, F.lit(False))).select(*self.columns, _hit(start, stop, classic).alias(name))
 
 
 def _hit(start: Column, stop: Column, classic: bool) -> Column:
@@ -113,13 +115,18 @@ def next_record(df: DataFrame, order_by: list[str], value: Column, partition_by:
     return df.withColumn(name, F.lead(value, 1, default).over(_spec(order_by, partition_by)))
 
 
+def range_flag(df: DataFrame, order_by: list[str], start: Column, stop: Column, classic: bool = False, name: str = "in_range") -> DataFrame:
+    """df with whether a record is in a range, as range_pattern says, over all records."""
+    return Ordered(df, order_by).ranges(start, stop, classic, name)
+
+
 def range_pattern(df: DataFrame, order_by: list[str], start: Column, stop: Column, partition_by: list[str] | None = None, classic: bool = False) -> DataFrame:
     """Records from one that meets start to the next that meets stop, both included.
 
     A record that meets only stop, with no range open, is a hit as well, unless classic.
     """
     if partition_by is None:
-        return Ordered(df, order_by).ranges(start, stop, classic)
+        return range_flag(df, order_by, start, stop, classic, "_hit").where("_hit").drop("_hit")
     state = F.when(stop, 0).when(start, 1)
     open_ = F.last(state, ignorenulls=True).over(_before(order_by, partition_by)) == 1
     return df.withColumn("_open", F.coalesce(open_, F.lit(False))).where(_hit(start, stop, classic)).drop("_open")

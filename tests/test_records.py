@@ -63,3 +63,11 @@ def test_targets(spark, tmp_path):
     sinks.write_targets(df, sinks.joined(F.col("v")), F.col("t"), f"file://{tmp_path}/out")
     got = spark.read.text(f"file://{tmp_path}/out").groupBy("target").count().collect()
     assert {r.target: r["count"] for r in got} == {"x": 2, "y": 1}
+
+
+def test_neighbours_at_borders_may_be_null(spark):
+    """A null value of a neighbour in another partition is not the same as no neighbour."""
+    df = spark.range(200).select("id", F.lit(None).cast("string").alias("v")).repartition(4)
+    for f in (ordered.previous_record, ordered.next_record):
+        got = f(df, ["id"], F.col("v"), name="x", default="D").collect()
+        assert sum(r.x == "D" for r in got) == 1 and sum(r.x is None for r in got) == 199
