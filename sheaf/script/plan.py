@@ -1,7 +1,14 @@
 """Planning of scripts: which run as DataFrame expressions, which as aggregates, and which record by record.
 
 - stateless: rules that print what depends on the record and constants only.
-  Each rule is a branch of one array that is exploded, in rule order.
+  Each rule is a branch of one array that is exploded, in rule order. Variables
+  set and read for one record, assignments to fields and to the record,
+  substitutions, and calls of functions that return expressions are carried as
+  expressions.
+- ordered: the same, with what comes from earlier records added as columns by
+  the operators of order: first occurrences (!seen[k]++), ranges of records,
+  running sums, and a value of the record before. It needs order_by, whose
+  columns must tell records apart.
 - counters: rules that only add to variables or array elements, and an END that
   prints them. Each array is one grouped aggregation, the variables one more.
 - sequential: everything else. Records go in the given order through one
@@ -24,10 +31,10 @@ from pyspark.sql import functions as F
 from sheaf.functions import coerce, mathx
 from sheaf.functions import fields as fields_
 from sheaf.functions import text as text_
-from sheaf.operators.ordered import record_number
+from sheaf.operators.ordered import previous_record, range_flag, record_number, running_total
 from sheaf.runtime import ship
 from sheaf.script.evaluate import Machine, text
-from sheaf.script.syntax import Node, Program, ScriptError, parse
+from sheaf.script.syntax import Node, Program, Rule, ScriptError, parse
 
 
 class _NoPlan(Exception):
@@ -50,9 +57,17 @@ def _walk(x: Any) -> Iterator[Node]:
 class _Columns:
     """Expressions over one record (or one row of an aggregate) as typed columns."""
 
-    def __init__(self, constants: dict[str, Any], fs: str, variables: dict[str, Typed] | None = None, elements=None, record: bool = True) -> None:
+    def __init__(self, constants: dict[str, Any], fs: str, variables: dict[str, Typed] | None = None, elements=None, record: bool = True, functions: dict | None = None) -> None:
         self.constants, self.fs = constants, fs
         self.variables, self.elements, self.record = variables or {}, elements, record
+        self.functions = functions or {}
+        #: Conditions under which the statement at hand runs, and what statements before it changed: the record, its fields, variables.
+        self.guards: tuple[Column, ...] = ()
+        self.line_now: Column = F.col("line")
+        self.fields_now: Column = F.col("fields")
+        self.set_here: dict[str, tuple[Column, str, tuple[Column, ...]]] = {}
+        self.calls = 0
+        self.changes = False
 
     def __call__(self, e: Node) -> Typed:
         f = getattr(self, f"on_{e.kind}", None)
@@ -88,7 +103,108 @@ class _Columns:
     def line(self) -> Column:
         if not self.record:
             raise _NoPlan("the record outside rules")
-        return F.col("line")
+        return self.line_now
+
+    def _here(self, new: Column, old: Column) -> Column:
+        """new where the statement at hand runs, else old."""
+        return new if not self.guards else F.when(_all(self.guards), new).otherwise(old)
+
+    def assign(self, target: Node, value: Typed) -> None:
+        """What a statement sets holds for the rest of the record's rules."""
+        if not self.changes:
+            raise _NoPlan("an assignment")
+        c, kind = value
+        if target.kind == "field":
+            if target[0].kind != "int" or target[0][0] < 0:
+                raise _NoPlan("a computed field is changed")
+            n, new = target[0][0], coerce.as_kind(c, kind, "str")
+            if n == 0:
+                fields = text_.split_fields(new, self.fs)
+            else:
+                fields = fields_.assign(self.fields_now, n, new)
+                new = fields_.rebuild(fields, text(self.constants["OFS"]))
+            self.line_now, self.fields_now = self._here(new, self.line_now), self._here(fields, self.fields_now)
+        elif target.kind == "var" and target[0] not in self.variables and target[0] not in _LIVE:
+            name = target[0]
+            held = self.set_here.get(name)
+            if held and _begins(self.guards, held[2]) and len(self.guards) > len(held[2]):
+                old, before, where = held
+                both = before if before == kind else "str" if "str" in (before, kind) else "float"
+                inner = _all(self.guards[len(where) :])
+                self.set_here[name] = F.when(inner, coerce.as_kind(c, kind, both)).otherwise(coerce.as_kind(old, before, both)), both, where
+            else:
+                self.set_here[name] = c, kind, self.guards
+        else:
+            raise _NoPlan("an element or a built-in variable is changed")
+
+    def on_assign(self, e: Node) -> Typed:
+        op, target, value = e.args
+        got = self(value) if op == "=" else self.on_binary(Node("binary", (op[0], target, value)))
+        self.assign(target, got)
+        return got
+
+    def on_step(self, e: Node) -> Typed:
+        op, post, target = e.args
+        old, kind = self(target)
+        old, kind = (coerce.to_num(old), "float") if kind == "str" else (old, kind)
+        new = (old + 1 if op == "++" else old - 1), kind
+        self.assign(target, new)
+        return (old, kind) if post else new
+
+    def _substitute(self, name: str, args: list[Node]) -> Typed:
+        """The number of replacements, which the target holds from then on."""
+        target = args[2] if len(args) > 2 else Node("field", (Node("int", (0,)),))
+        if args[0].kind not in ("regex", "str") or args[1].kind != "str":
+            raise _NoPlan("a pattern or replacement that is no constant")
+        old, pattern, new = self.want(target, "str"), args[0][0], args[1][0]
+        if name == "gsub":
+            n, put = text_.gsub_count(old, pattern), text_.gsub(old, pattern, new)
+        else:
+            n, put = (F.regexp_instr(old, F.lit(pattern)) > 0).cast("bigint"), text_.sub(old, pattern, new)
+        guards, self.guards = self.guards, (*self.guards, n > 0)
+        self.assign(target, (put, "str"))
+        self.guards = guards
+        return n, "int"
+
+    def _inline(self, name: str, args: list[Node]) -> Typed:
+        """A call of a function whose value is an expression of its arguments."""
+        params, body = self.functions[name]
+        self.calls += 1
+        if self.calls > 12 or len(args) > len(params):
+            raise _NoPlan("recursion")
+        values = [self(a) for a in args] + [(F.lit(""), "str")] * (len(params) - len(args))
+        kept = self.set_here, self.guards, self.variables, self.line_now, self.fields_now
+        self.set_here, self.guards = {p: (c, k, ()) for p, (c, k) in zip(params, values, strict=True)}, ()
+        try:
+            got = self._value([body] if isinstance(body, Node) else list(body), frozenset(params))
+        finally:
+            self.set_here, self.guards, self.variables, line, fields = kept
+            self.calls -= 1
+        if self.line_now is not line or self.fields_now is not fields:
+            raise _NoPlan("a function changes the record")
+        return got
+
+    def _value(self, statements: list[Node], own: frozenset[str]) -> Typed:
+        if not statements:
+            return F.lit(""), "str"
+        s, rest = statements[0], statements[1:]
+        if s.kind == "block":
+            return self._value([*s.args, *rest], own)
+        if s.kind == "return":
+            return self(s[0]) if s[0] is not None else (F.lit(""), "str")
+        if s.kind == "if":
+            test, held = self.test(s[0]), dict(self.set_here)
+            a, ka = self._value([s[1], *rest], own)
+            self.set_here = held
+            b, kb = self._value([*([s[2]] if s[2] is not None else []), *rest], own)
+            kind = ka if ka == kb else "str" if "str" in (ka, kb) else "float"
+            return F.when(test, coerce.as_kind(a, ka, kind)).otherwise(coerce.as_kind(b, kb, kind)), kind
+        if s.kind == "expr" and s[0].kind == "assign" and s[0][1].kind == "var" and s[0][1][0] in own:
+            before, self.changes = self.changes, True
+            self(s[0])
+            self.changes = before
+            return self._value(rest, own)
+        raise _NoPlan(f"{s.kind} in a function")
 
     def on_int(self, e: Node) -> Typed:
         return F.lit(e[0]).cast("bigint"), "int"
@@ -110,15 +226,23 @@ class _Columns:
         self.line()
         n = e[0][0] if e[0].kind == "int" else self.want(e[0], "int")
         if isinstance(n, int):
-            return F.coalesce(F.get(F.col("fields"), n - 1), F.lit("")), "str"
-        return F.when(n == 0, self.line()).otherwise(fields_.nth(F.col("fields"), F.when(n == 0, 1).otherwise(n))), "str"
+            return F.coalesce(F.get(self.fields_now, n - 1), F.lit("")), "str"
+        return F.when(n == 0, self.line()).otherwise(fields_.nth(self.fields_now, F.when(n == 0, 1).otherwise(n))), "str"
+
+    def on_column(self, e: Node) -> Typed:
+        return F.col(e[0]), e[1]
 
     def on_var(self, e: Node) -> Typed:
         name = e[0]
+        if name in self.set_here:
+            c, kind, where = self.set_here[name]
+            if not _begins(self.guards, where):
+                raise _NoPlan(f"variable {name} may keep its value")
+            return c, kind
         if name in self.variables:
             return self.variables[name]
         if name == "NF" and self.record:
-            return fields_.count(F.col("fields")), "int"
+            return fields_.count(self.fields_now), "int"
         if name == "FILENAME" and self.record:
             return F.col("file"), "str"
         if name in self.constants:
@@ -163,6 +287,10 @@ class _Columns:
 
     def on_call(self, e: Node) -> Typed:
         name, args = e.args
+        if name in self.functions:
+            return self._inline(name, args)
+        if name in ("sub", "gsub"):
+            return self._substitute(name, args)
         s = lambda i: self.want(args[i], "str")
         x = lambda i: self.want(args[i], "float")
         n = lambda i: self.want(args[i], "int")
@@ -201,7 +329,7 @@ class _Columns:
             if name == "join_fields" and len(values) < 3:
                 values.append(text(self.constants["OFS"]))
             self.line()
-            return getattr(fields_, name)(F.col("fields"), *values), "str"
+            return getattr(fields_, name)(self.fields_now, *values), "str"
         raise _NoPlan(f"function {name}")
 
 
@@ -215,6 +343,21 @@ def _matches(s: Column, pattern: str) -> Column:
     return s.contains(pattern) if plain(pattern) else s.rlike(pattern)
 
 
+_LIVE = {"NR", "FNR", "NF", "FILENAME", "RSTART", "RLENGTH", "PID", "FS", "OFS", "ORS", "RS", "SUBSEP"}
+
+
+def _begins(guards: tuple[Column, ...], first: tuple[Column, ...]) -> bool:
+    """Whether guards begin with the same conditions."""
+    return len(guards) >= len(first) and all(a is b for a, b in zip(guards, first, strict=False))
+
+
+def _all(tests) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
 class Script:
     """A program ready to run over DataFrames with a column `line` (and `file`, if it has several inputs)."""
 
@@ -226,11 +369,11 @@ class Script:
                 raise ScriptError("commands are not run")
 
     def kind(self) -> str:
-        """stateless, counters or sequential: how the script will run."""
+        """stateless, ordered, counters or sequential: how the script will run."""
         machine, on = self._begun()
         if not on:
             return "stateless"
-        for name, plan in (("stateless", self._rows), ("counters", self._totals)):
+        for name, plan in (("stateless", self._rows), ("ordered", self._in_order), ("counters", self._totals)):
             try:
                 plan(None, machine, None)
                 return name
@@ -254,7 +397,7 @@ class Script:
         if "file" not in df.columns:
             df = df.withColumn("file", F.lit(""))
         out = None
-        for plan in (self._rows, self._totals):
+        for plan in (self._rows, self._in_order, self._totals):
             try:
                 out = plan(df, machine, order_by)
                 break
@@ -296,30 +439,40 @@ class Script:
 
     def _rows(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:
         p = self.program
-        if p.end or p.prepare or p.functions or any(r.last for r in p.rules):
-            raise _NoPlan("END, PREPARE, functions or ranges")
+        if p.end or p.prepare or any(r.last for r in p.rules):
+            raise _NoPlan("END, PREPARE or ranges")
         df, numbers = self._prepared(df, machine, order_by)
-        cols = _Columns(self._constants(machine), text(machine.globals["FS"]), numbers)
+        return self._printed(df, machine, p.rules, numbers)
+
+    def _columns(self, machine: Machine, variables: dict[str, Typed]) -> _Columns:
+        cols = _Columns(self._constants(machine), text(machine.globals["FS"]), variables, functions=self.program.functions)
+        cols.changes = True
+        return cols
+
+    def _printed(self, df: DataFrame | None, machine: Machine, rules: list, variables: dict[str, Typed]) -> DataFrame | None:
+        """What rules print about each record, in rule order."""
+        cols = self._columns(machine, variables)
         ofs, ors = (text(machine.globals[k]) for k in ("OFS", "ORS"))
         prints: list[Column] = []
         stopped: list[Column] = []
 
         def live(guards: list[Column]) -> Column:
-            out = F.lit(True)
-            for g in [*guards, *[~s for s in stopped]]:
-                out = out & g
-            return out
+            return _all([*guards, *[~s for s in stopped]])
 
         def do(s: Node | None, guards: list[Column]) -> None:
             if s is None:
                 return
-            if s.kind == "block":
+            cols.guards = tuple(guards)
+            if s.kind == "expr":
+                cols(s[0])
+            elif s.kind == "block":
                 for x in s.args:
                     do(x, guards)
             elif s.kind == "if":
                 test = cols.test(s[0])
                 do(s[1], [*guards, test])
                 do(s[2], [*guards, ~test])
+                cols.guards = tuple(guards)
             elif s.kind == "next":
                 stopped.append(live(guards))
             elif s.kind in ("print", "printf") and s[1] is None:
@@ -335,7 +488,8 @@ class Script:
             else:
                 raise _NoPlan(s.kind)
 
-        for r in p.rules:
+        for r in rules:
+            cols.guards = ()
             guards = [] if r.pattern is None else [cols.test(r.pattern)]
             do(r.body if r.body is not None else Node("print", ([], None, None)), guards)
         if df is None:
@@ -344,6 +498,102 @@ class Script:
             return df.sparkSession.createDataFrame([], "line string")
         return df.select(F.explode(F.filter(F.array(*prints), lambda x: x.isNotNull())).alias("_p")).select("_p.line")
 
+    # in order
+
+    def _in_order(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:
+        """As rows, with columns for first occurrences, ranges, running sums and values of the record before."""
+        p = self.program
+        if p.end or p.prepare:
+            raise _NoPlan("END or PREPARE")
+        if df is not None and not order_by:
+            raise ScriptError("what depends on earlier records needs order_by")
+        df, variables = self._prepared(df, machine, order_by)
+        order = list(order_by or [])
+        rules = [Rule(r.pattern, r.last, r.body) for r in p.rules]
+        fresh = lambda: self._columns(machine, dict(variables))
+        changed = any(n.kind in ("assign", "step") and n.args[1 if n.kind == "assign" else 2].kind == "field" or n.kind == "call" and n[0] in ("sub", "gsub") for r in rules for n in _walk(r.body))
+        if changed:
+            raise _NoPlan("the record is changed")
+
+        for k, r in enumerate(rules):
+            seen = r.pattern
+            if seen is not None and r.last is None and seen.kind == "unary" and seen[0] == "!" and seen[1].kind == "step" and seen[1][0] == "++" and seen[1][1] and seen[1][2].kind == "index":
+                array = seen[1][2][0]
+                if sum(n.kind == "index" and n[0] == array or n.kind in ("forin", "in") and n[1] == array for x in rules for n in _walk((x.pattern, x.last, x.body))) != 1:
+                    raise _NoPlan("the array is used elsewhere")
+                if k and any(n.kind == "next" for x in rules[:k] for n in _walk(x.body)):
+                    raise _NoPlan("not every record reaches the rule")
+                cols = fresh()
+                keys = [cols.want(x, "str") for x in seen[1][2][1]]
+                if df is not None:
+                    df = df.withColumn("_key", F.concat_ws("\x1c", *keys))
+                    first = df.groupBy("_key").agg(F.min(F.struct(*order)).alias("_at")).select("_key", F.col("_at.*"), F.lit(True).alias(f"_first{k}"))
+                    df = df.join(first, ["_key", *order], "left").withColumn(f"_first{k}", F.col(f"_first{k}").isNotNull().cast("bigint")).drop("_key")
+                rules[k] = Rule(Node("column", (f"_first{k}", "int")), None, r.body)
+            elif r.last is not None:
+                cols = fresh()
+                start, stop = cols.test(r.pattern), cols.test(r.last)
+                if df is not None:
+                    df = range_flag(df, order, start, stop, name=f"_range{k}").withColumn(f"_range{k}", F.col(f"_range{k}").cast("bigint"))
+                rules[k] = Rule(Node("column", (f"_range{k}", "int")), None, r.body)
+
+        df = self._carried(df, rules, fresh, variables, order)
+        return self._printed(df, machine, rules, variables)
+
+    def _carried(self, df: DataFrame | None, rules: list, fresh, variables: dict[str, Typed], order: list[str]) -> DataFrame | None:
+        """Running sums and values of the record before, for variables that one statement of a rule without pattern changes.
+
+        The statement is taken out; reads before it see the state before the
+        record, reads after it the state with it.
+        """
+        changes: dict[str, list] = {}
+        for k, r in enumerate(rules):
+            for n in _walk((r.pattern, r.body)):
+                if n.kind in ("assign", "step"):
+                    target = n[1] if n.kind == "assign" else n[2]
+                    if target.kind != "var":
+                        raise _NoPlan("an element is changed")
+                    changes.setdefault(target[0], []).append((k, n))
+                elif n.kind == "getline" or n.kind in ("next", "nextfile", "exit"):
+                    raise _NoPlan(n.kind)
+        for name, where in changes.items():
+            k, n = where[0]
+            r = rules[k]
+            own = r.body.args if r.body is not None and r.body.kind == "block" else (r.body,)
+            at = next((i for i, x in enumerate(own) if x.kind == "expr" and x[0] is n), None)
+            if len(where) > 1 or at is None:
+                raise _NoPlan(f"variable {name} is changed in other ways")
+            guarded = r.pattern is not None
+            reads = lambda part: any(x.kind == "var" and x[0] == name for x in _walk(part))  # noqa: E731, B023
+            early = [r.pattern, own[:at], [(x.pattern, x.body) for x in rules[:k]]]
+            late = [own[at + 1 :], [(x.pattern, x.body) for x in rules[k + 1 :]]]
+            if n.kind == "assign" and n[0] == "=":
+                if not reads(early):
+                    continue  # set and read for one record
+                if reads(late) or reads(n[2]) or guarded:
+                    raise _NoPlan(f"variable {name} is read on both sides")
+                value, kind = fresh()(n[2])
+                if kind != "str":
+                    raise _NoPlan("a number of the record before")
+                if df is not None:
+                    df = previous_record(df, order, value, name=f"_before_{name}", default="")
+                variables[name] = F.col(f"_before_{name}"), "str"
+            elif n.kind == "step" or n[0] in ("+=", "-="):
+                if reads(early) or n.kind != "step" and reads(n[2]):
+                    raise _NoPlan(f"variable {name} is read before it grows")
+                value, kind = (F.lit(1).cast("bigint"), "int") if n.kind == "step" else fresh()(n[2])
+                value, kind = (coerce.to_num(value), "float") if kind == "str" else (value, kind)
+                value = -value if (n[0] in ("--", "-=")) else value
+                if guarded:
+                    value = F.when(fresh().test(r.pattern), value)
+                if df is not None:
+                    df = running_total(df, order, value, name=f"_total_{name}")
+                variables[name] = F.col(f"_total_{name}"), kind
+            else:
+                raise _NoPlan(n.kind)
+            rules[k] = Rule(r.pattern, None, Node("block", tuple(x for i, x in enumerate(own) if i != at)))
+        return df
+
     # counters
 
     def _totals(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:
