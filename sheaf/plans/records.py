@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import coerce
 from sheaf.operators import ordered
 from sheaf.plans.registry import query, table
+from sheaf.script import Script
 
 _NUM = r"coalesce(try_cast(regexp_extract({}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0) as double), 0)"
 
@@ -45,7 +46,7 @@ def filter_string_cmp(spark, sf_dir):
 
 @query(f"select event_id from events where {_NUM.format('substr(props, 7)')} >= 50")
 def filter_mixed_cmp(spark, sf_dir):
-    number = F.substring("props", 7, 1000)
+    number = F.col("props").substr(F.lit(7), F.length("props"))
     return table(spark, sf_dir, "events").where(coerce.compare(">=", number, "str", F.lit(50), "int")).select("event_id")
 
 
@@ -74,7 +75,10 @@ def rule_union_order(spark, sf_dir):
 
 @query("""select event_id, case when value > 100 then 'big' when event_type = 'error' then 'error' else 'rest' end as says from events""")
 def next_guard(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 100, "big").when(F.col("event_type") == "error", "error").otherwise("rest").alias("says"))
+    lines = table(spark, sf_dir, "events").select(F.concat_ws("\t", "event_id", "event_type", F.col("value").cast("double")).alias("line"))
+    said = Script('$3 > 100.0 { print $1 "\\tbig"; next } $2 == "error" { print $1 "\\terror"; next } { print $1 "\\trest" }', {"FS": "\t"}).run(lines)
+    f = F.split("line", "\t")
+    return said.select(f[0].cast("bigint").alias("event_id"), f[1].alias("says"))
 
 
 @query("select event_id, row_number() over (order by event_id) as nr from events")
@@ -141,6 +145,15 @@ def nextfile_prefix(spark, sf_dir):
     return ordered.until(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["event_id"], F.col("event_type") == "purchase", ["user_id"])
 
 
+@query("select cast(least(100, count(*)) as bigint) as n, cast(least(100, count(*)) as bigint) as n_different, true as all_known from events")
+def rand_sample_size(spark, sf_dir):
+    """Which rows are drawn is left to chance; how many, that they differ and that they are rows is not."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    drawn = rand_sample(spark, sf_dir)
+    known = drawn.join(events.distinct().withColumn("known", F.lit(True)), "event_id", "left")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.every(F.coalesce("known", F.lit(False))).alias("all_known"))
+
+
 @query()
 def rand_sample(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id").orderBy(F.rand(7)).limit(100)

@@ -18,12 +18,12 @@ def _docs(spark, sf_dir):
 
 @query(f"select p_partkey, {_NUM.format('cast(p_retailprice as varchar)')} as whole, {_NUM.format('p_name')} as name_number, {_NUM.format('substr(p_brand, 7)')} as brand_number from part")
 def num_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", coerce.to_num(F.col("p_retailprice").cast("string")).alias("whole"), coerce.to_num(F.col("p_name")).alias("name_number"), coerce.to_num(F.substring("p_brand", 7, 100)).alias("brand_number"))
+    return table(spark, sf_dir, "part").select("p_partkey", coerce.to_num(F.col("p_retailprice").cast("string")).alias("whole"), coerce.to_num(F.col("p_name")).alias("name_number"), coerce.to_num(F.col("p_brand").substr(F.lit(7), F.length("p_brand"))).alias("brand_number"))
 
 
 @query(f"select c_custkey, cast(trunc(c_acctbal) as bigint) as whole, {_INT.format('substr(c_name, 10)')} as number from customer")
 def int_trunc(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", coerce.float_to_int(F.col("c_acctbal")).alias("whole"), coerce.to_int(F.substring("c_name", 10, 100)).alias("number"))
+    return table(spark, sf_dir, "customer").select("c_custkey", coerce.float_to_int(F.col("c_acctbal")).alias("whole"), coerce.to_int(F.col("c_name").substr(F.lit(10), F.length("c_name"))).alias("number"))
 
 
 @query("select p_partkey, cast(p_size as varchar) as i, cast(cast(p_size * 2 as bigint) as varchar) as whole, regexp_replace(cast(p_size / 8.0 as varchar), '\\.0$', '') as eighths from part")
@@ -93,16 +93,19 @@ def escape_tsv(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.escape_tsv(F.col("text")).alias("line"))
 
 
-@query("select doc_id, text as second, 'a\"b' as third, cast(3 as bigint) as nf from documents where position(chr(92) in text) = 0")
+_BACK = r"replace(replace(replace(replace(replace(replace({0}, chr(9), '\t'), chr(10), '\n'), '\\', chr(57344)), '\t', chr(9)), '\n', chr(10)), chr(57344), '\')"
+
+
+@query(f"select doc_id, case when regexp_matches(coalesce(text, ''), '[\",\t\n]') then {_BACK.format('text')} else coalesce(text, '') end as second, 'a\"b' as third, cast(3 as bigint) as nf from documents")
 def csv_parse(spark, sf_dir):
-    df = _docs(spark, sf_dir).where(~F.col("text").contains("\\"))
+    df = _docs(spark, sf_dir)
     f = df.select("doc_id", readers.csv_fields(sinks.csv_line(F.col("doc_id"), F.col("text"), F.lit('a"b'))).alias("f"))
     return f.select("doc_id", F.get("f", 1).alias("second"), F.get("f", 2).alias("third"), fields.count(F.col("f")).alias("nf"))
 
 
-@query("select doc_id, text as second, cast(2 as bigint) as nf from documents where position(chr(92) in text) = 0")
+@query(f"select doc_id, {_BACK.format("coalesce(text, '')")} as second, cast(2 as bigint) as nf from documents")
 def tsv_parse(spark, sf_dir):
-    df = _docs(spark, sf_dir).where(~F.col("text").contains("\\"))
+    df = _docs(spark, sf_dir)
     f = df.select("doc_id", readers.tsv_fields(sinks.tsv_line(F.col("doc_id"), F.col("text"))).alias("f"))
     return f.select("doc_id", F.get("f", 1).alias("second"), fields.count(F.col("f")).alias("nf"))
 
@@ -131,15 +134,8 @@ def match_loc(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", at.alias("rstart"), size.alias("rlength"))
 
 
-@query("select doc_id, p as pos, w as word from (select doc_id, unnest(f) as w, generate_subscripts(f, 1) as p from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t]+'), lambda x: x <> '') as f from documents where doc_id < 50))")
-def split_blank(spark, sf_dir):
-    df = _docs(spark, sf_dir).where("doc_id < 50")
-    return df.select("doc_id", F.posexplode(text.split_fields(F.col("text"))).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
-
-
 @query("select doc_id, p as pos, w as word from (select doc_id, unnest(f) as w, generate_subscripts(f, 1) as p from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t]+'), lambda x: x <> '') as f from documents))")
-def split_blank_all(spark, sf_dir):
-    """The words of every document; split_blank and its SQL keep those with doc_id < 50."""
+def split_blank(spark, sf_dir):
     df = _docs(spark, sf_dir)
     return df.select("doc_id", F.posexplode(text.split_fields(F.col("text"))).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
 
@@ -244,7 +240,8 @@ def map_lookup(spark, sf_dir):
     return m.select("user_id", F.size("m").cast("bigint").alias("n"), F.coalesce(F.try_element_at("m", F.lit("error")), F.lit(0)).alias("errors"), (~F.map_contains_key("m", F.lit("nothing"))).cast("bigint").alias("absent"))
 
 
-@query("select user_id, count(distinct event_type) filter (event_type <> 'view') as n from events group by user_id")
+@query("select user_id, event_type, n from (select user_id, event_type, count(*) as n from events group by all) where event_type <> 'view'")
 def map_delete(spark, sf_dir):
-    m = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
-    return m.select("user_id", F.size(F.array_remove("s", "view")).cast("bigint").alias("n"))
+    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return m.select("user_id", F.explode(F.map_filter("m", lambda k, v: k != "view")).alias("event_type", "n"))

@@ -34,6 +34,39 @@ def script_numbered(spark, sf_dir):
     return Script('NR % 100 == 0 { print NR ":" $3 }').run(_events(spark, sf_dir), ["event_id"])
 
 
+@query("select event_id || ' - ' || event_type || ' ' || user_id * 2 as line from events where user_id % 2 = 0")
+def script_field_assignment(spark, sf_dir):
+    return Script('$2 % 2 == 0 { $2 = "-"; print }').run(_events(spark, sf_dir))
+
+
+@query("select event_id || ' ' || replace(event_type, 'e', '[e]') || ' ' || length(event_type) - length(replace(event_type, 'e', '')) as line from events")
+def script_substitution(spark, sf_dir):
+    return Script('{ s = $3; n = gsub(/e/, "[&]", s); print $1, s, n }').run(_events(spark, sf_dir))
+
+
+@query("select event_id || ' ' || case when user_id > 50 then 'high' when user_id > 20 then 'middle' else 'low' end as line from events")
+def script_function(spark, sf_dir):
+    source = 'function level(x) { if (x > 50) return "high"; if (x > 20) return "middle"; return "low" } { print $1, level(int($2)) }'
+    return Script(source).run(_events(spark, sf_dir))
+
+
+@query("select min(event_id) || ' ' || event_type || ' ' || user_id as line from events group by event_type, user_id")
+def script_first_seen(spark, sf_dir):
+    return Script("!seen[$3, $2]++ { print $1, $3, $2 }").run(_events(spark, sf_dir), ["event_id"])
+
+
+@query("select event_id || ' ' || cast(sum(user_id) over (order by event_id rows unbounded preceding) as bigint) as line from events")
+def script_running_total(spark, sf_dir):
+    return Script("{ t += int($2); print $1, t }").run(_events(spark, sf_dir), ["event_id"])
+
+
+@query("""with s as (select event_id, event_type, user_id, case when user_id % 10 = 3 then 0 when event_type = 'error' then 1 end as state from events),
+o as (select *, last_value(state ignore nulls) over (order by event_id rows between unbounded preceding and 1 preceding) as open from s)
+select cast(event_id as varchar) as line from o where coalesce(open, 0) = 1 or event_type = 'error' or user_id % 10 = 3""")
+def script_range(spark, sf_dir):
+    return Script('$3 == "error", $2 % 10 == 3 { print $1 }').run(_events(spark, sf_dir), ["event_id"])
+
+
 @query("select event_id || ' ' || p as line from (select *, lag(event_type) over (order by event_id) as p from events) where p <> event_type")
 def script_sequential(spark, sf_dir):
     return Script("prev != \"\" && prev != $3 { print $1, prev } { prev = $3 }").run(_events(spark, sf_dir), ["event_id"])

@@ -33,14 +33,19 @@ def test_same_rows(name, spark, duck):
 
 
 def test_every_query_has_sql_or_is_listed():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"rand_sample"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"rand_sample", "approximate_distinct"}
 
 
-def test_split_blank_all_gives_the_words_of_every_document(spark):
+def test_split_blank_gives_the_words_of_every_document(spark):
     want = []
     for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
         words = [w for w in (r.text or "").replace("\t", " ").split(" ") if w]
         want += [(r.doc_id, k, w) for k, w in enumerate(words, 1)]
-    got = catalog.queries()["split_blank_all"](spark, SF).collect()
+    got = catalog.queries()["split_blank"](spark, SF).collect()
     assert len({i for i, _, _ in want}) > 50
     assert sorted((r.doc_id, r.pos, r.word) for r in got) == sorted(want)
+
+
+def test_the_estimate_of_distinct_keys(spark, duck):
+    exact = duck.sql("select count(distinct o_custkey) from orders").fetchall()[0][0]
+    assert abs(catalog.queries()["approximate_distinct"](spark, SF).first().n - exact) <= 0.15 * exact
