@@ -60,6 +60,8 @@ BANDS, ROWS, BATCH, MISS = 40, 5, 40, 1e-9
 BROADCAST_BYTES = 16_000_000
 #: Candidates that are dealt with one copy of their leader's text.
 BLOCK = 128
+#: Texts whose common shingles, at most so many, come last in the order of shingles.
+ORDERED, COMMON = 500, 100_000
 #: Similarity to a leader from which a node's differences from it are listed.
 NEAR = 0.4
 
@@ -378,28 +380,37 @@ class _Search:
         rest = stash(still.select("bucket", "id", "leader").join(seen, ["id", "leader"]).select("bucket", "id", "low", "high", "near"), "rest")
         tops = stash(rest.where(~F.col("near")).groupBy("bucket").agg(F.max("high").alias("top")), "tops")
         near_enough = F.col("low") <= F.col("top") + 1 - self.similarity + 1e-9
-        asked = rest.join(_few(tops), "bucket").where(near_enough).groupBy("id").agg(F.max(~F.col("near")).alias("far"))
-        asked = stash(of(asked, "id", "component"), "asked")
-        size = self.size
+        placed = stash(of(rest.join(_few(tops), "bucket").where(near_enough).select("bucket", "id", "near"), "id", "component"), "placed")
+        several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
+        placed = placed.join(_few(stash(several, "several")), "bucket", "left_semi")  # in others all are linked by now
+        asked = stash(placed.groupBy("id", "component").agg(F.max(~F.col("near")).alias("far")), "asked")
+        size, percent = self.size, self.percent
+        texts = self._texts(asked.select("id")).join(sigs.join(_few(asked.select("id")), "id", "left_semi"), "id").select("id", "text", "sig")
+        held = self.docs.sparkSession.sparkContext.broadcast(self._common(texts, asked.count()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common, often = held.value
             for batch in batches:
-                sets = [x.view(np.int64) for x in elements(text_column(batch, "text"), size)]
                 sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS)
                 packed = np.zeros((len(batch), 32), np.uint8)
                 packed[:, : BANDS * ROWS // 8] = np.packbits(sig & 1, axis=1)
                 bits = packed.view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=["id", "xs", *_BITS])
-
-        texts = self._texts(asked.select("id")).join(sigs.join(_few(asked.select("id")), "id", "left_semi"), "id").select("id", "text", "sig")
-        sets = mapped(texts, run, f"id {self.kind}, xs array<long>, {', '.join(f'{b} long' for b in _BITS)}")
-        rows = stash(sets.join(_few(asked), "id").select("id", "far", "component", *_BITS, F.size("xs").alias("n"), F.explode("xs").alias("x")), "far-sets")
-        often = stash(rows.groupBy("x").agg(F.count("*").alias("often"), F.max("far").alias("met")).where("often > 1"), "often")
-        of_set = Window.partitionBy("id", "n")
-        ranked = rows.join(_few(often), "x")  # elements of one set alone come first and are only counted
-        ranked = ranked.withColumn("nth", F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("often", "x")))
-        least = F.ceil(F.col("n") * self.percent / 100)
-        ranked = stash(ranked.where(F.col("met") & (F.col("nth") <= F.col("n") - least + 1)).drop("often", "met"), "far-ranked")
+                row, n, x, nth = ([np.zeros(0, np.int64)] for _ in range(4))
+                for k, own in enumerate(elements(text_column(batch, "text"), size)):
+                    own = own.view(np.int64)
+                    at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+                    known = np.where(common[at] == own, often[at], 0) if len(common) else np.zeros(len(own), np.int64)
+                    first = own[np.lexsort((own, known))][: len(own) + (-len(own) * percent // 100) + 1]
+                    row.append(np.full(len(first), k))
+                    n.append(np.full(len(first), len(own)))
+                    x.append(first)
+                    nth.append(np.arange(1, len(first) + 1))
+                of = np.concatenate(row)
+                numbers = [pa.array(np.concatenate(v)) for v in (n, x, nth)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *numbers, *(pa.array(np.ascontiguousarray(bits[of, k])) for k in range(4))], names=["id", "n", "x", "nth", *_BITS])
+
+        first = mapped(texts, run, f"id {self.kind}, n long, x long, nth long, {', '.join(f'{b} long' for b in _BITS)}")
+        ranked = stash(first.join(_few(asked), "id"), "far-ranked")
         u = ranked.where("far").select("x", F.col("id").alias("u"), F.col("component").alias("of_u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"), *[F.col(b).alias(f"{b}_u") for b in _BITS])
         shared = F.ceil((F.col("n") + F.col("n_u")) * (self.percent / (100 + self.percent)) - 1e-9)
         both = (F.col("component") != F.col("of_u")) & (F.col("nth") <= F.col("n") - shared + 1) & (F.col("nth_u") <= F.col("n_u") - shared + 1)
@@ -409,6 +420,27 @@ class _Search:
         return met.select(F.greatest("u", "id").alias("a"), F.least("u", "id").alias("b"))
 
 
+    def _common(self, texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles that several of about ORDERED of the n texts share, sorted, and how many do.
+
+        They only fix an order, common shingles last, and any order gives the
+        same pairs; so a few texts are enough, and at most COMMON shingles.
+        """
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.concatenate([np.zeros(0, np.uint64), *elements(text_column(batch, "text"), size)]).view(np.int64)
+                x, often = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(often.astype(np.int64))], names=["x", "n"])
+
+        some = texts.select("id", "text").where(F.xxhash64("id") / F.lit(2.0**64) + 0.5 < ORDERED / max(n, 1))
+        table = mapped(some, run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).toArrow()
+        x, often = (table.column(k).to_numpy() for k in range(2))
+        order = np.argsort(x)
+        return x[order], often[order]
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest linked doc_id) and kept (it is that one)."""
     search = _Search(docs, text, doc_id, size, similarity)
