@@ -3,10 +3,12 @@
 import random
 import re
 import sys
+import time
 from math import log
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
@@ -358,3 +360,135 @@ def test_decontaminated_modes(spark):
     both = of("both")
     assert sorted(both) == [2, 3, 4] and both[3].endswith("é  tail") and both[4] is None
     assert decontaminate.decontaminated(d, held.limit(0)).count() == 4
+
+
+# all
+
+
+CLASHES = "row _row id _id of _of _spans _cuts _kept _hits_of_blocks near base hits found n ids decoded c0 c1 host path rule score matches evidence lang_pred long_row start cuts".split()
+
+
+def clashing(spark, rows):
+    d = odd(spark, rows).select("doc_id", "text", "source")
+    for k, c in enumerate(CLASHES):
+        d = d.withColumn(c, F.lit(k))
+    return d.withColumn("url", F.lit("http://a.example.org/x"))
+
+
+OPERATIONS = {
+    "bpe": lambda d, spark: bpe.encode(d, queries.tokenizer_file(), ids="new_ids", long_text=9),
+    "toxicity": lambda d, spark: toxicity.kept(d, toxicity.Lexicon({"idiot": 5.0})),
+    "measured": lambda d, spark: toxicity.measured(d, toxicity.Lexicon({"idiot": 5.0})),
+    "quality": lambda d, spark: quality.judge(d),
+    "language": lambda d, spark: language.predict(d, language.fit(d, lang="source")),
+    "counts": lambda d, spark: counts.token_counts(d, queries.tokenizer_file("byte_bpe_50k.tiktoken")),
+    "pii": lambda d, spark: pii.sanitise(d),
+    "minhash": lambda d, spark: minhash.deduplicated(d),
+    "substrings": lambda d, spark: substrings.without_repeats(d, size=4, anchor=2),
+    "urls": lambda d, spark: urls.judge(d),
+    "decontaminate": lambda d, spark: decontaminate.decontaminated(d, spark.createDataFrame([(1, "one two three four"), (2, "five")], "item_id long, text string"), mode="span", max_bytes=4),
+}
+REPLACED = {"measured": {"evidence", "score", "matches"}, "language": {"score", "lang_pred"}, "urls": {"host", "path", "rule", "score"}}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATIONS))
+def test_columns_of_any_name_and_empty_tables(spark, name):
+    """Columns that operations use themselves come back as they were, and an empty table gives an empty table."""
+    rows = [(1, "one two three four five"), (2, None), (3, ""), (None, "six seven idiot a@b.cc"), (4, "one two three four " * 3), (4, "once more")]
+    d = clashing(spark, rows)
+    got = OPERATIONS[name](d, spark)
+    assert got.count() <= len(rows)
+    if name != "quality":
+        own = [c for c in CLASHES if c not in REPLACED.get(name, ())]
+        want = {c: k for k, c in enumerate(CLASHES)}
+        assert all(r[c] == want[c] for r in got.collect() for c in own)
+    assert OPERATIONS[name](d.limit(0), spark).count() == 0
+
+
+def test_texts_without_an_id_are_told_apart(spark):
+    """Many rows without an id, one of which repeats a passage of another: no other loses a word."""
+    rng = random.Random(6)
+    rows = [(None, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(50)) + f" {i}") for i in range(3000)]
+    rows += [(1, rows[5][1]), (None, "start " + " ".join(rows[9][1].split()[3:46]))]
+    got = sorted(((r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(odd(spark, rows)).collect()), key=repr)
+    assert got == sorted((tuple(x[1:]) for x in plain.without_repeats(rows, 35)), key=repr)
+
+
+def test_passages_are_named_alike(spark):
+    """A passage that three texts hold is one path, also where another text branches off."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words) + " y"), (3, " ".join(words[:60]) + " z " + " ".join(words[60:]))]
+    got = {r.doc_id: r.passages for r in substrings.without_repeats(odd(spark, rows)).collect()}
+    assert [(p.start, p.end) for p in got[2]][0][0] == 1
+    assert {p.path for p in got[1]} == {p.path for p in got[2]} >= {p.path for p in got[3]}
+
+
+def test_near_duplicates_of_templates(spark):
+    """Texts with a common half, near and far from each other around the limit."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for family in range(12):
+        own = [f"f{family}_{i}" for i in range(rng.choice([10, 25, 60]))]
+        for _ in range(25):
+            part = [w if rng.random() > rng.choice([0.02, 0.06, 0.12]) else f"x{rng.random()}" for w in own]
+            rows.append((len(rows), " ".join(common[: rng.choice([20, 40])] + part)))
+    want = plain.near_duplicates(rows, 2)
+    got = minhash.near_duplicates(odd(spark, rows), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_repeated_phrases_cost_linear_time():
+    machine = toxicity.Lexicon({"trash": 4.0}).automaton()
+    began = time.perf_counter()
+    assert toxicity.evidence("trash can " * 200_000 + "trash", machine)[0] == 4.0
+    assert time.perf_counter() - began < 5
+
+
+def test_long_lists_of_rules(spark):
+    """Looked up, they give what expressions give."""
+    rng = random.Random(5)
+    rules = list(urls.RULES) + [(f"h{i}.test", f"/{i % 7}", rng.choice(["allow", "block"])) for i in range(300)] + [("test", "/", "block"), ("test", "", "allow")]
+    hosts = ["a.example.com", "h3.test", "www.h3.test", "xh3.test", "test", "com", "q.net", "h299.test", ""]
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(['/en/7', '/3', '/299', '', '/de/8', '/es/'])}") for i in range(400)]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge(d, rules=rules).select("host", "path", "rule", "verdict", "score").collect()
+    for r in got:
+        fits = [(len(h + p), k, h + p, v) for k, (h, p, v) in enumerate(rules) if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        want = max(fits)[2:] if fits else (None, "block" if r.score >= 0.5 and r.host else "allow")
+        assert (r.rule, r.verdict) == want
+
+
+def test_no_labelled_site_is_one_of_the_data(spark):
+    parts = lambda host: set(host.split(".")[:-1]) - {"www", "blog", "m", "news", "docs", "wiki"}
+    hosts = {urls.parts(r.url)[0] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect() if r.url}
+    names = set().union(*map(parts, hosts))
+    assert not any(parts(urls.parts(u)[0]) & names for u in (*urls.BLOCKED, *urls.ALLOWED))
+
+
+def test_token_counts_of_a_table(spark):
+    """Every document's counts against a plain dynamic program over its pre-tokens."""
+    ranks = counts.read_ranks(queries.tokenizer_file("byte_bpe_50k.tiktoken"))
+    longest, known = max(map(len, ranks)), {}
+
+    def count(w):
+        if w not in known:
+            best = [(0.0, 0)]
+            for j in range(1, len(w) + 1):
+                best.append(max((best[i][0] - log(ranks[w[i:j]] + counts.SHIFT), best[i][1] - 1) for i in range(max(0, j - longest), j) if w[i:j] in ranks))
+            known[w] = -best[-1][1]
+        return known[w]
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op5_token_counts(spark, SF).collect():
+        pre = re.findall(rb"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]", (texts[r.doc_id] or "").encode())
+        assert (r.n_pretokens, r.n_tokens) == (len(pre), sum(map(count, pre)))
+
+
+def test_a_large_benchmark_takes_little_memory():
+    """A window set of 300,000 words takes under 100 bytes a word."""
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randrange(50000)}" for _ in range(300))) for i in range(1000)]
+    held = decontaminate.Windows(items, 13)
+    size = sum(x.nbytes for x in (held.buf, held.start, held.end)) + sum(a.nbytes for v in held.of.values() for a in v)
+    assert size < 100 * 300_000
