@@ -9,8 +9,14 @@
   the operators of order: first occurrences (!seen[k]++), ranges of records,
   running sums, and a value of the record before. It needs order_by, whose
   columns must tell records apart.
-- counters: rules that only add to variables or array elements, and an END that
-  prints them. Each array is one grouped aggregation, the variables one more.
+- lookup: a first rule that loads arrays from the first input (NR == FNR, with
+  next), and rules as above that read them or test for their keys. Each array is
+  one grouped aggregation, each use by another key one left join. Files must
+  follow each other in the order.
+- counters: rules that only add to variables or array elements, keep a largest,
+  smallest or last value (with what stands beside it), or print; and an END that
+  prints what was kept. Each array is one grouped aggregation, the variables one
+  more; what stands beside a largest value is found in a second scan.
 - sequential: everything else. Records go in the given order through one
   evaluator; with parallel=True each partition has its own and the states are
   merged as sums, unions and any text that is not empty, before END.
@@ -32,9 +38,10 @@ from sheaf.functions import coerce, mathx
 from sheaf.functions import fields as fields_
 from sheaf.functions import text as text_
 from sheaf.operators.ordered import previous_record, range_flag, record_number, running_total
-from sheaf.runtime import ship
+from sheaf.runtime import ship, written
 from sheaf.script.evaluate import Machine, text
 from sheaf.script.syntax import Node, Program, Rule, ScriptError, parse
+from sheaf.sources.sinks import write_targets
 
 
 class _NoPlan(Exception):
@@ -57,9 +64,9 @@ def _walk(x: Any) -> Iterator[Node]:
 class _Columns:
     """Expressions over one record (or one row of an aggregate) as typed columns."""
 
-    def __init__(self, constants: dict[str, Any], fs: str, variables: dict[str, Typed] | None = None, elements=None, record: bool = True, functions: dict | None = None) -> None:
+    def __init__(self, constants: dict[str, Any], fs: str, variables: dict[str, Typed] | None = None, elements=None, record: bool = True, functions: dict | None = None, members=None) -> None:
         self.constants, self.fs = constants, fs
-        self.variables, self.elements, self.record = variables or {}, elements, record
+        self.variables, self.elements, self.members, self.record = variables or {}, elements, members, record
         self.functions = functions or {}
         #: Conditions under which the statement at hand runs, and what statements before it changed: the record, its fields, variables.
         self.guards: tuple[Column, ...] = ()
@@ -257,6 +264,11 @@ class _Columns:
             raise _NoPlan("array element")
         return self.elements(e)
 
+    def on_in(self, e: Node) -> Typed:
+        if self.members is None:
+            raise _NoPlan("a test for a key")
+        return self.members(e).cast("bigint"), "int"
+
     def on_cond(self, e: Node) -> Typed:
         (a, ka), (b, kb) = self(e[1]), self(e[2])
         kind = ka if ka == kb else "str" if "str" in (ka, kb) else "float"
@@ -343,6 +355,7 @@ def _matches(s: Column, pattern: str) -> Column:
     return s.contains(pattern) if plain(pattern) else s.rlike(pattern)
 
 
+_OUT = "line string, target string"
 _LIVE = {"NR", "FNR", "NF", "FILENAME", "RSTART", "RLENGTH", "PID", "FS", "OFS", "ORS", "RS", "SUBSEP"}
 
 
@@ -369,11 +382,11 @@ class Script:
                 raise ScriptError("commands are not run")
 
     def kind(self) -> str:
-        """stateless, ordered, counters or sequential: how the script will run."""
+        """stateless, ordered, lookup, counters or sequential: how the script will run."""
         machine, on = self._begun()
         if not on:
             return "stateless"
-        for name, plan in (("stateless", self._rows), ("ordered", self._in_order), ("counters", self._totals)):
+        for name, plan in (("stateless", self._rows), ("ordered", self._in_order), ("lookup", self._looked_up), ("counters", self._totals)):
             try:
                 plan(None, machine, None)
                 return name
@@ -387,17 +400,32 @@ class Script:
 
     def run(self, df: DataFrame, order_by: list[str] | None = None, parallel: bool = False) -> DataFrame:
         """What the script prints, one row (line) a print, without the newline at its end."""
+        return self._run(df, order_by, parallel).select("line")
+
+    def write(self, df: DataFrame, path: str, order_by: list[str] | None = None, parallel: bool = False) -> DataFrame:
+        """Run the script; what it prints to files goes to folders target=<name> under path, the rest is returned as rows.
+
+        What an earlier run left there is replaced, or added to if the script appends (>>).
+        """
+        rows = written(self._run(df, order_by, parallel))
+        p = self.program
+        append = any(n.kind in ("print", "printf") and n[1] == ">>" for n in _walk([p.begin, p.end, [r.body for r in p.rules], [b for _, b in p.functions.values()]]))
+        write_targets(rows.where("target is not null"), F.col("line"), F.col("target"), path, append)
+        return rows.where("target is null").select("line")
+
+    def _run(self, df: DataFrame, order_by: list[str] | None, parallel: bool) -> DataFrame:
+        """What is printed, as line and target."""
         spark = df.sparkSession
         machine, on = self._begun()
-        first = [t.removesuffix("\n") for _, t in machine.out]
+        first = [(t.removesuffix("\n"), target) for target, t in machine.out]
         machine.out = []
-        before = spark.createDataFrame([(t,) for t in first], "line string") if first else None
+        before = spark.createDataFrame(first, _OUT) if first else None
         if not on or not (self.program.rules or self.program.end):
-            return before if before is not None else spark.createDataFrame([], "line string")
+            return before if before is not None else spark.createDataFrame([], _OUT)
         if "file" not in df.columns:
             df = df.withColumn("file", F.lit(""))
         out = None
-        for plan in (self._rows, self._in_order, self._totals):
+        for plan in (self._rows, self._in_order, self._looked_up, self._totals):
             try:
                 out = plan(df, machine, order_by)
                 break
@@ -421,10 +449,11 @@ class Script:
         live = {"NR", "FNR", "NF", "FILENAME", "RSTART", "RLENGTH", "PID"}
         return {k: v for k, v in machine.globals.items() if k not in changed | live}
 
-    def _prepared(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> tuple[DataFrame | None, dict[str, Typed]]:
-        """df with fields, and with record numbers where the script reads them."""
+    def _prepared(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None, rules: list | None = None) -> tuple[DataFrame | None, dict[str, Typed]]:
+        """df with fields, and with record numbers where the rules read them."""
         fs = text(machine.globals["FS"])
-        used = {n[0] for n in _walk([(r.pattern, r.last, r.body) for r in self.program.rules]) if n.kind == "var"} & {"NR", "FNR"}
+        rules = self.program.rules if rules is None else rules
+        used = {n[0] for n in _walk([(r.pattern, r.last, r.body) for r in rules]) if n.kind == "var"} & {"NR", "FNR"}
         if used and df is not None and not order_by:
             raise ScriptError("NR and FNR need order_by")
         if df is not None:
@@ -449,9 +478,9 @@ class Script:
         cols.changes = True
         return cols
 
-    def _printed(self, df: DataFrame | None, machine: Machine, rules: list, variables: dict[str, Typed]) -> DataFrame | None:
+    def _printed(self, df: DataFrame | None, machine: Machine, rules: list, variables: dict[str, Typed], cols: _Columns | None = None) -> DataFrame | None:
         """What rules print about each record, in rule order."""
-        cols = self._columns(machine, variables)
+        cols = cols or self._columns(machine, variables)
         ofs, ors = (text(machine.globals[k]) for k in ("OFS", "ORS"))
         prints: list[Column] = []
         stopped: list[Column] = []
@@ -475,7 +504,7 @@ class Script:
                 cols.guards = tuple(guards)
             elif s.kind == "next":
                 stopped.append(live(guards))
-            elif s.kind in ("print", "printf") and s[1] is None:
+            elif s.kind in ("print", "printf") and s[1] != "|":
                 if s.kind == "print":
                     parts = [cols.want(a, "str") for a in s[0]] or [cols.line()]
                     line = F.concat_ws(ofs, *parts)
@@ -484,7 +513,8 @@ class Script:
                     if s[0][0].kind != "str":
                         raise _NoPlan("a format that is no constant")
                     line = F.regexp_replace(text_.sprintf(s[0][0][0], *[cols(a) for a in s[0][1:]]), "\n\\z", "")
-                prints.append(F.when(live(guards), F.struct(line.alias("line"))))
+                target = F.lit(None).cast("string") if s[1] is None else cols.want(s[2], "str")
+                prints.append(F.when(live(guards), F.struct(line.alias("line"), target.alias("target"))))
             else:
                 raise _NoPlan(s.kind)
 
@@ -495,8 +525,8 @@ class Script:
         if df is None:
             return None
         if not prints:
-            return df.sparkSession.createDataFrame([], "line string")
-        return df.select(F.explode(F.filter(F.array(*prints), lambda x: x.isNotNull())).alias("_p")).select("_p.line")
+            return df.sparkSession.createDataFrame([], _OUT)
+        return df.select(F.explode(F.filter(F.array(*prints), lambda x: x.isNotNull())).alias("_p")).select("_p.line", "_p.target")
 
     # in order
 
@@ -594,6 +624,75 @@ class Script:
             rules[k] = Rule(r.pattern, None, Node("block", tuple(x for i, x in enumerate(own) if i != at)))
         return df
 
+    # lookups between inputs
+
+    def _looked_up(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:
+        """Arrays of the first input as tables by key, joined to the records of the others."""
+        p = self.program
+        if p.end or p.prepare or any(r.last for r in p.rules) or not p.rules or not _first_input(p.rules[0].pattern):
+            raise _NoPlan("no first input")
+        load, rules = p.rules[0].body, p.rules[1:]
+        steps = load.args if load is not None and load.kind == "block" else (load,)
+        if steps[-1] is None or steps[-1].kind != "next" or any(s.kind != "expr" for s in steps[:-1]):
+            raise _NoPlan("the first input is not only loaded")
+        if df is not None and not order_by:
+            raise ScriptError("NR and FNR need order_by")
+        df, numbers = self._prepared(df, machine, order_by, rules)
+        fresh = lambda: self._columns(machine, dict(numbers))
+        one = fresh()
+        loaded: dict[str, tuple[Column, Column, str]] = {}
+        for s in steps[:-1]:
+            e = s[0]
+            target = e if e.kind == "index" else e[1] if e.kind == "assign" else e[2] if e.kind == "step" else None
+            if target is None or target.kind != "index" or target[0] in loaded:
+                raise _NoPlan("what the first input sets")
+            key = F.concat_ws("\x1c", *[one.want(k, "str") for k in target[1]])
+            if e.kind == "index":
+                value, kind = F.first(F.lit("")), "str"
+            elif e.kind == "assign" and e[0] == "=":
+                c, kind = one(e[2])
+                value = F.max_by(c, F.struct(*(order_by or ["line"])))
+            elif e.kind == "step" or e[0] in ("+=", "-="):
+                c, kind = (F.lit(1).cast("bigint"), "int") if e.kind == "step" else one(e[2])
+                c, kind = (coerce.to_num(c), "float") if kind == "str" else (c, kind)
+                value = F.sum(-c if e[0] in ("--", "-=") else c)
+            else:
+                raise _NoPlan("an element is changed")
+            loaded[target[0]] = key, value, kind
+        if any(n.kind in ("assign", "step") and n.args[1 if n.kind == "assign" else 2].kind == "field" or n.kind == "call" and n[0] in ("sub", "gsub") for r in rules for n in _walk(r.body)):
+            raise _NoPlan("the record is changed")
+        parts = [(r.pattern, r.body) for r in rules]
+        uses = {(n[0], repr(n[1])) if n.kind == "index" else (n[1], repr(n[0])): n[1] if n.kind == "index" else n[0] for n in _walk(parts) if n.kind in ("index", "in")}
+        if not uses or any(name not in loaded for name, _ in uses):
+            raise _NoPlan("an array that the first input does not set")
+        tested = {n[1] for n in _walk(parts) if n.kind == "in"}
+        for pattern, body in parts:
+            sure = _tested(pattern)
+            if not (_sure(pattern, frozenset(), tested, loaded) and _sure(body, sure, tested, loaded)):
+                raise _NoPlan("an element that may not be there")
+        rest = None
+        if df is not None:
+            first = F.broadcast(df.orderBy(*order_by).limit(1).select(F.col("file").alias("_first")))  # one row
+            here = F.col("file").eqNullSafe(F.col("_first"))
+            source, rest = df.join(first, here, "left_semi"), df.join(first, here, "left_anti")
+        number: dict[tuple[str, str], int] = {}
+        for i, (use, keys) in enumerate(uses.items()):
+            number[use] = i
+            at = F.concat_ws("\x1c", *[fresh().want(k, "str") for k in keys])
+            if rest is not None:
+                key, value, _ = loaded[use[0]]
+                found = source.groupBy(key.alias(f"_at{i}")).agg(value.alias(f"_get{i}"), F.lit(True).alias(f"_has{i}"))
+                rest = rest.withColumn(f"_key{i}", at).join(found, F.col(f"_key{i}") == F.col(f"_at{i}"), "left").drop(f"_key{i}", f"_at{i}")
+
+        def element(e: Node) -> Typed:
+            c, kind = F.col(f"_get{number[e[0], repr(e[1])]}"), loaded[e[0]][2]
+            return (F.coalesce(c, F.lit("")), kind) if kind == "str" else (c, kind)
+
+        cols = fresh()
+        cols.elements = element
+        cols.members = lambda e: F.col(f"_has{number[e[1], repr(e[0])]}").isNotNull()
+        return self._printed(rest, machine, rules, numbers, cols)
+
     # counters
 
     def _totals(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:
@@ -603,7 +702,13 @@ class Script:
         fixed = self._constants(machine)
         df, numbers = self._prepared(df, machine, order_by)
         cols = _Columns(fixed, text(machine.globals["FS"]), numbers)
+        order = F.struct(*order_by) if order_by else None
         scalars: dict[str, list[Typed]] = {}
+        #: Variables with one value of one record: the column that finds it, its kind and what holds without such a record.
+        kept: dict[str, tuple[Column, str, Any]] = {}
+        #: Records that hold a largest or smallest value: which, the test for them, whether the last of them counts, and what is kept of them.
+        beside: list[tuple[str, Column, Column, bool, dict[str, Column]]] = []
+        stopped: list[Column] = []
         arrays: dict[str, tuple[str, Column, list[tuple[Column, Typed]]]] = {}
 
         def add(target: Node, value: Typed, live: Column) -> None:
@@ -624,16 +729,67 @@ class Script:
                 raise _NoPlan("an array with two kinds of keys")
             known[2].append((live, (c, kind)))
 
+        def keep(name: str, kind: str, ordered: bool = True) -> tuple[str, Any]:
+            """The kind of a variable and its value before any record."""
+            start = machine.globals.get(name, "")
+            if name in kept or name in _LIVE or isinstance(start, dict) or ordered and df is not None and order is None:
+                raise _NoPlan(f"variable {name}")
+            if start == "" and kind != "str":
+                return kind, 0
+            if isinstance(start, str) != (kind == "str"):
+                raise _NoPlan(f"variable {name} is text and number")
+            return ("float" if isinstance(start, float) else kind), start
+
+        def extreme(test: Node, body: Node | None, live: Column) -> bool:
+            """Whether this keeps the largest or smallest value so far, and other values of its record."""
+            steps = () if body is None else body.args if body.kind == "block" else (body,)
+            if test.kind != "compare" or test[0] not in _TURNED or not steps or any(x.kind != "expr" or x[0].kind != "assign" or x[0][0] != "=" or x[0][1].kind != "var" for x in steps):
+                return False
+            sets = {x[0][1][0]: x[0][2] for x in steps}
+            for op, value, best in ((test[0], test[1], test[2]), (_TURNED[test[0]], test[2], test[1])):
+                if best.kind == "var" and repr(sets.get(best[0])) == repr(value) and len(sets) == len(steps):
+                    break
+            else:
+                return False
+            name = best[0]
+            c, own = cols(value)
+            kind, start = keep(name, own, ordered=False)
+            beats = live & coerce.compare(op, c, own, F.lit(start), "str" if isinstance(start, str) else "float" if isinstance(start, float) else "int")
+            c = coerce.as_kind(c, own, kind)
+            kept[name] = (F.max if op[0] == ">" else F.min)(F.when(beats, c)), kind, start
+            others = {}
+            for other, e in sets.items():
+                if other != name:
+                    x, own = cols(e)
+                    kind, start = keep(other, own)
+                    kept[other] = F.lit(None), kind, start
+                    others[other] = coerce.as_kind(x, own, kind)
+            if others:
+                beside.append((name, beats, c, op.endswith("="), others))
+            return True
+
         def do(s: Node | None, live: Column) -> None:
             if s is None:
                 return
+            if s.kind == "next":
+                stopped.append(live)
+                return
+            if s.kind not in ("block", "if"):
+                live = live & _all([~x for x in stopped])
             if s.kind == "block":
                 for x in s.args:
                     do(x, live)
             elif s.kind == "if":
+                if s[2] is None and extreme(s[0], s[1], live & _all([~x for x in stopped])):
+                    return
                 test = cols.test(s[0])
                 do(s[1], live & test)
                 do(s[2], live & ~test)
+            elif s.kind == "expr" and s[0].kind == "assign" and s[0][0] == "=" and s[0][1].kind == "var":
+                c, own = cols(s[0][2])
+                kind, start = keep(s[0][1][0], own)
+                found = F.max_by(F.when(live, F.struct(coerce.as_kind(c, own, kind).alias("x"))), F.when(live, order)) if order is not None else F.lit(None)
+                kept[s[0][1][0]] = (found["x"] if order is not None else found), kind, start
             elif s.kind == "expr" and s[0].kind == "assign" and s[0][0] in ("+=", "-="):
                 c, kind = cols(s[0][2])
                 c, kind = (coerce.to_num(c), "float") if kind == "str" else (c, kind)
@@ -643,12 +799,24 @@ class Script:
             else:
                 raise _NoPlan(s.kind)
 
+        printing: list[Rule] = []
         for r in p.rules:
-            if r.body is None:
-                raise _NoPlan("a rule that prints")
-            do(r.body, F.lit(True) if r.pattern is None else cols.test(r.pattern))
+            steps = (Node("print", ([], None, None)),) if r.body is None else r.body.args if r.body.kind == "block" else (r.body,)
+            prints = [any(n.kind in ("print", "printf") for n in _walk(x)) for x in steps]
+            if any(prints):
+                printing.append(Rule(r.pattern, None, Node("block", tuple(x for x, shows in zip(steps, prints, strict=True) if shows))))
+            rest = tuple(x for x, shows in zip(steps, prints, strict=True) if not shows)
+            if rest and not (r.pattern is not None and extreme(r.pattern, Node("block", rest), _all([~x for x in stopped]))):
+                do(Node("block", rest), F.lit(True) if r.pattern is None else cols.test(r.pattern))
         if not p.end:
             raise _NoPlan("nothing is printed")
+        if kept.keys() & scalars.keys():
+            raise _NoPlan("a variable is set and added to")
+        rows = None
+        if printing:
+            if stopped or any(n.kind in ("assign", "step", "next") or n.kind == "call" and n[0] in ("sub", "gsub") for n in _walk([(r.pattern, r.body) for r in printing])):
+                raise _NoPlan("rules that print change more")
+            rows = self._printed(df, machine, printing, numbers)
 
         def total(parts: list[Typed]) -> Typed:
             kind = "float" if any(k == "float" for _, k in parts) else "int"
@@ -659,8 +827,17 @@ class Script:
             return out, kind
 
         kinds = {n: total(v) for n, v in scalars.items()}
-        row = None if df is None else df.agg(F.count("*").alias("NR"), *[c.alias(f"v_{n}") for n, (c, _) in kinds.items()])
+        alone = {n for *_, others in beside for n in others}
+        row = None if df is None else df.agg(F.count("*").alias("NR"), *[c.alias(f"v_{n}") for n, (c, _) in kinds.items()], *[c.alias(f"v_{n}") for n, (c, _, _) in kept.items() if n not in alone])
+        if row is not None:
+            for n, beats, c, late, others in beside:
+                best = df.agg(kept[n][0].alias("_best"))
+                held = df.crossJoin(F.broadcast(best)).where(beats & (c == F.col("_best")))  # one row
+                found = (F.max_by if late else F.min_by)(F.struct(*[x.alias(f"v_{o}") for o, x in others.items()]), order)
+                row = row.crossJoin(F.broadcast(held.agg(found.alias("_beside"))))  # one row
+                row = row.select("*", "_beside.*").drop("_beside")
         variables: dict[str, Typed] = {"NR": (F.col("NR"), "int")} | {n: (F.col(f"v_{n}"), k) for n, (_, k) in kinds.items()}
+        variables |= {n: (F.coalesce(f"v_{n}", coerce.as_kind(F.lit(start), "str" if isinstance(start, str) else "float" if isinstance(start, float) else "int", k)), k) for n, (_, k, start) in kept.items()}
         ofs = text(machine.globals["OFS"])
         out: list[DataFrame | None] = []
 
@@ -722,7 +899,8 @@ class Script:
         result = out[0]
         for x in out[1:]:
             result = result.unionByName(x)
-        return result
+        result = result.withColumn("target", F.lit(None).cast("string"))
+        return result if rows is None else rows.unionByName(result)
 
     # record by record
 
@@ -744,9 +922,9 @@ class Script:
             on = m.main(records())
             if on:
                 m.end()
-            yield pd.DataFrame({"line": [t.removesuffix("\n") for _, t in m.out]}, dtype=object)
+            yield pd.DataFrame({"line": [t.removesuffix("\n") for _, t in m.out], "target": [target for target, _ in m.out]}, dtype=object)
 
-        return self._records(df, order_by).coalesce(1).mapInPandas(run, "line string")
+        return self._records(df, order_by).coalesce(1).mapInPandas(run, _OUT)
 
     def _merged(self, df: DataFrame, machine: Machine) -> DataFrame:
         """An evaluator for each partition; states are merged on the driver, then END runs there."""
@@ -758,18 +936,49 @@ class Script:
             m = Machine(parse(source), start | {"PID": TaskContext.get().partitionId() + 1})
             m.main((a, b) for f in frames for a, b in zip(f["file"].fillna(""), f["line"].fillna(""), strict=True))
             state = {k: v for k, v in m.globals.items() if v != start.get(k) and k not in ("PID", "FILENAME", "FNR")}
-            yield pd.DataFrame({"line": [t.removesuffix("\n") for _, t in m.out] + [None], "state": [None] * len(m.out) + [json.dumps(state)]}, dtype=object)
+            yield pd.DataFrame({"line": [t.removesuffix("\n") for _, t in m.out] + [None], "target": [target for target, _ in m.out] + [None], "state": [None] * len(m.out) + [json.dumps(state)]}, dtype=object)
 
-        got = self._records(df, None).mapInPandas(run, "line string, state string").persist()
+        got = written(self._records(df, None).mapInPandas(run, f"{_OUT}, state string"))
         merged: dict[str, Any] = dict(start)
         for r in got.where("state is not null").select("state").toLocalIterator():
             for k, v in json.loads(r["state"]).items():
                 merged[k] = merge(merged.get(k, ""), v)
         end = Machine(self.program, merged)
         end.end()
-        lines = got.where("line is not null").select("line")
-        last = [(t.removesuffix("\n"),) for _, t in end.out]
-        return lines.unionByName(df.sparkSession.createDataFrame(last, "line string")) if last else lines
+        lines = got.where("line is not null").select("line", "target")
+        last = [(t.removesuffix("\n"), target) for target, t in end.out]
+        return lines.unionByName(df.sparkSession.createDataFrame(last, _OUT)) if last else lines
+
+
+#: Comparisons that keep an extreme, and the same with the sides exchanged.
+_TURNED = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
+
+
+def _first_input(pattern: Node | None) -> bool:
+    """Whether a pattern is NR == FNR."""
+    return pattern is not None and pattern.kind == "compare" and pattern[0] == "==" and {n[0] for n in pattern.args[1:] if n.kind == "var"} == {"NR", "FNR"}
+
+
+def _tested(test: Node | None) -> frozenset:
+    """The elements that are there where a test holds."""
+    if test is None:
+        return frozenset()
+    if test.kind == "in":
+        return frozenset({(test[1], repr(test[0]))})
+    return _tested(test[0]) | _tested(test[1]) if test.kind == "and" else frozenset()
+
+
+def _sure(x: Any, there: frozenset, tested: set[str], loaded: dict) -> bool:
+    """Whether all elements read are there, or texts of arrays whose keys are never tested: reading one makes it."""
+    if isinstance(x, (list, tuple)):
+        return all(_sure(a, there, tested, loaded) for a in x)
+    if not isinstance(x, Node):
+        return True
+    if x.kind == "index":
+        return (x[0], repr(x[1])) in there or x[0] not in tested and loaded[x[0]][2] == "str"
+    if x.kind in ("if", "cond", "and"):
+        return _sure(x[0], there, tested, loaded) and _sure(x[1], there | _tested(x[0]), tested, loaded) and (len(x.args) < 3 or _sure(x[2], there, tested, loaded))
+    return _sure(x.args, there, tested, loaded)
 
 
 def _any(tests: list[Column]) -> Column:
