@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheaf.plans.registry import query, table
+from sheaf.runtime import scratch
 from sheaf.script import Script
 from sheaf.sources.sinks import joined
 
@@ -76,3 +79,32 @@ def script_sequential(spark, sf_dir):
 def script_merged(spark, sf_dir):
     source = "function bump(m, k) { m[k]++ } { bump(seen, $3); n++ } END { for (k in seen) d++; print n, d }"
     return Script(source).run(_events(spark, sf_dir), parallel=True)
+
+
+@query("select o_orderkey || ' ' || c_mktsegment as line from orders join customer on o_custkey = c_custkey where c_mktsegment <> 'BUILDING'")
+def script_two_inputs(spark, sf_dir):
+    """The first input is looked up by the second."""
+    customer = table(spark, sf_dir, "customer").select(F.lit("customer").alias("file"), F.col("c_custkey").alias("at"), joined(F.col("c_custkey"), F.col("c_mktsegment")).alias("line"))
+    orders = table(spark, sf_dir, "orders").select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("at"), joined(F.col("o_custkey"), F.col("o_orderkey")).alias("line"))
+    source = 'NR == FNR { held[$1] = $2; next } $1 in held && held[$1] != "BUILDING" { print $2, held[$1] }'
+    return Script(source).run(customer.unionByName(orders), ["file", "at"])
+
+
+@query("with e as (select event_id, user_id, event_type from events) select (select max(user_id) from e) || ' ' || min(event_id) || ' ' || min_by(event_type, event_id) as line from e where user_id = (select max(user_id) from e)")
+def script_extreme(spark, sf_dir):
+    """The largest value and what stood beside its first occurrence."""
+    return Script("$2 + 0 > m { m = $2 + 0; at = $1; what = $3 } END { print m, at, what }").run(_events(spark, sf_dir), ["event_id"])
+
+
+@query("select cast(event_id as varchar) as line from events where event_type = 'error' union all select 'of ' || count(*) || ' ' || count(*) filter (event_type = 'error') from events")
+def script_print_and_count(spark, sf_dir):
+    return Script('$3 == "error" { print $1; c++ } END { print "of", NR, c }').run(_events(spark, sf_dir))
+
+
+@query("select event_type as target, event_id || ' ' || user_id as line from events union all select null, cast(event_id as varchar) from events where user_id = 7")
+def script_files(spark, sf_dir):
+    """What print > name writes, read back, and what the same script prints plainly."""
+    path = f"{scratch(spark).rstrip('/')}/sheaf-files/script-{uuid.uuid4().hex}"
+    rest = Script('{ print $1, $2 > $3 } $2 == "7" { print $1 }').write(_events(spark, sf_dir), path)
+    files = spark.read.text(path).select(F.col("target").cast("string").alias("target"), F.col("value").alias("line"))
+    return files.unionByName(rest.select(F.lit(None).cast("string").alias("target"), "line"))

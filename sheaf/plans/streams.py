@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.plans.registry import query
+from sheaf.plans.registry import query, table
+from sheaf.runtime import scratch
+from sheaf.script import Script
+from sheaf.sources.sinks import joined
 from sheaf.streaming import streams
 
 
@@ -61,3 +65,30 @@ def stream_range_state(spark, sf_dir):
     kind = F.col("event_type")
     hits = streams.range_hits(_events(spark, sf_dir), "user_id", "event_id", kind == "signup", kind == "error")
     return streams.finished(hits, _name("ranges"), "append")
+
+
+@query("select event_id || ' ' || upper(event_type) as line from events where user_id % 2 = 0")
+def stream_stateless(spark, sf_dir):
+    """A script over records that arrive."""
+    events = _events(spark, sf_dir).select(joined(F.col("event_id"), F.col("user_id"), F.col("event_type")).alias("line"))
+    return streams.finished(Script("$2 % 2 == 0 { print $1, toupper($3) }").run(events), _name("stateless"), "append")
+
+
+@query("select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as at, count(*) as n from events where user_id % 2 = 0 group by all")
+def stream_late(spark, sf_dir):
+    """Records behind the watermark are left out, windows are written when it has passed them.
+
+    Batches: events of even users, a record ten years on, another, events of odd
+    users. The watermark that a batch sets closes windows in the next one and
+    shuts out late records from the one after that.
+    """
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    path = f"{scratch(spark).rstrip('/')}/sheaf-files/late-{uuid.uuid4().hex}"
+    even = F.col("user_id") % 2 == 0
+    end = events.agg((F.max("ts") + F.expr("interval 10 years")).alias("ts")).withColumn("user_id", F.lit(0).cast(events.schema["user_id"].dataType))
+    for batch in (events.where(even), end, end, events.where(~even)):
+        batch.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = streams.finished(streams.tumbling(stream, "ts", "1 hour", "10 minutes", value=F.col("user_id")), _name("late"), "append")
+    return out.select(_text("window.start").alias("at"), "n")
