@@ -40,11 +40,16 @@ def match_place(s: Column, pattern: str) -> tuple[Column, Column]:
     return at, F.when(at > 0, F.length(F.regexp_extract(s, pattern, 0))).otherwise(-1).cast("bigint")
 
 
-def split_fields(s: Column, separator: str = " ") -> Column:
-    """Fields of a record: " " stands for runs of blanks, else a regular expression; an empty record has none."""
+def split_fields(s: Column, separator: str = " ", at_most: int | None = None) -> Column:
+    """Fields of a record: " " stands for runs of blanks, else a regular expression; an empty record has none.
+
+    at_most: the highest field needed; what follows it is one more field, unsplit.
+    """
     if separator == " ":
-        return F.filter(F.split(s, "[ \\t]+"), lambda x: x != "")
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, separator if len(separator) > 1 else re.escape(separator)))
+        limit = -1 if at_most is None else at_most + 2  # blanks before the first field make an empty one
+        return F.filter(F.split(s, "[ \\t]+", limit), lambda x: x != "")
+    limit = -1 if at_most is None else at_most + 1
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, separator if len(separator) > 1 else re.escape(separator), limit))
 
 
 def replacement(text: str) -> str:

@@ -457,13 +457,24 @@ class Script:
         if used and df is not None and not order_by:
             raise ScriptError("NR and FNR need order_by")
         if df is not None:
-            df = df.withColumn("fields", text_.split_fields(F.col("line"), fs))
+            df = df.withColumn("fields", text_.split_fields(F.col("line"), fs, self._last_field()))
             if "NR" in used:
                 df = record_number(df, list(order_by or []), name="_nr")
             if "FNR" in used:
                 df = record_number(df, list(order_by or []), ["file"], "_fnr")
         return df, {k: (F.col(f"_{k.lower()}"), "int") for k in used}
 
+    def _last_field(self) -> int | None:
+        """The highest field that rules read; None if they may read or count any, or change one."""
+        nodes = list(_walk([(r.pattern, r.last, r.body) for r in self.program.rules]))
+        if self.program.functions or any(n.kind == "var" and n[0] == "NF" or n.kind == "call" and n[0] in ("sub", "gsub", "join_fields", "join_csv", "join_tsv") for n in nodes):
+            return None
+        targets = [n[1] if n.kind == "assign" else n[2] for n in nodes if n.kind in ("assign", "step")]
+        fields = [n[0] for n in nodes if n.kind == "field"]
+        if any(t.kind == "field" for t in targets) or any(n.kind != "int" for n in fields):
+            return None
+        return max([1, *[n[0] for n in fields]])
+
     # stateless
 
     def _rows(self, df: DataFrame | None, machine: Machine, order_by: list[str] | None) -> DataFrame | None:

@@ -29,10 +29,7 @@ def records(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFr
 
 def with_fields(df: DataFrame, separator: str = " ", line: str = "line", name: str = "fields", at_most: int | None = None) -> DataFrame:
     """df with the fields of a line; at_most: the highest field needed, beyond which nothing is split."""
-    if at_most is not None and separator != " ":
-        fields = F.when(F.col(line) == "", F.array().cast("array<string>")).otherwise(F.split(line, separator, at_most + 1))
-        return df.withColumn(name, fields)
-    return df.withColumn(name, split_fields(F.col(line), separator))
+    return df.withColumn(name, split_fields(F.col(line), separator, at_most))
 
 
 def tsv_fields(line: Column) -> Column:
