@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sheaf.operators.ordered import record_number
 from sheaf.plans.registry import query, table
 from sheaf.runtime import scratch
 from sheaf.script import Script
-from sheaf.sources.sinks import joined
+from sheaf.sources.sinks import csv_line, joined
 
 
 def _events(spark, sf_dir):
@@ -108,3 +109,24 @@ def script_files(spark, sf_dir):
     rest = Script('{ print $1, $2 > $3 } $2 == "7" { print $1 }').write(_events(spark, sf_dir), path)
     files = spark.read.text(path).select(F.col("target").cast("string").alias("target"), F.col("value").alias("line"))
     return files.unionByName(rest.select(F.lit(None).cast("string").alias("target"), "line"))
+
+
+@query("select c_mktsegment || ' ' || count(*) || ' ' || cast(sum(c_custkey) as bigint) as line from customer group by c_mktsegment")
+def script_field_names(spark, sf_dir):
+    """Fields by the names in the first record, lines as CSV."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("at"), csv_line(F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment")).alias("line"))
+    named = spark.createDataFrame([(-1, "name,key,segment")], "at bigint, line string").unionByName(rows)
+    source = '{ n[$FI["segment"]]++; s[$FI["segment"]] += int($FI["key"]) } END { for (k in n) print k, n[k], s[k] }'
+    return Script(source, form="csv", header=True).run(named, ["at"])
+
+
+@query("select row_number() over (order by user_id, event_id || ' ' || user_id || ' ' || event_type) as nr, event_id || ' ' || user_id || ' ' || event_type as line from events")
+def script_sort(spark, sf_dir):
+    """Lines by the number in their second field, with their places in that order."""
+    lines = Script('{ print $1, $2, $3 | "sort -n -k2,2" }').run(_events(spark, sf_dir))
+    return record_number(lines.withColumn("at", F.monotonically_increasing_id()), ["at"]).drop("at")
+
+
+@query("select event_id || ',\"' || event_type || ',' || user_id || '\"' as line from events")
+def script_output_csv(spark, sf_dir):
+    return Script('{ print $1, $3 "," $2 }', output="csv").run(_events(spark, sf_dir))

@@ -26,8 +26,9 @@ BEGIN runs on the driver, where its variables become constants.
 
 from __future__ import annotations
 
+import copy
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 from sheaf.functions import coerce, mathx
 from sheaf.functions import fields as fields_
 from sheaf.functions import text as text_
+from sheaf.operators.lines import sorted_lines
 from sheaf.operators.ordered import previous_record, range_flag, record_number, running_total
 from sheaf.runtime import ship, written
-from sheaf.script.evaluate import Machine, text
+from sheaf.script.evaluate import Machine, split_form, text
 from sheaf.script.syntax import Node, Program, Rule, ScriptError, parse
+from sheaf.sources import readers
 from sheaf.sources.sinks import write_targets
 
 
@@ -61,10 +64,22 @@ def _walk(x: Any) -> Iterator[Node]:
             yield from _walk(a)
 
 
+def _rewritten(x: Any, change: Callable[[Node], Node]) -> Any:
+    """A program, or a part of one, with nodes changed from the leaves up."""
+    if isinstance(x, Node):
+        return change(Node(x.kind, tuple(_rewritten(a, change) for a in x.args)))
+    if isinstance(x, Rule):
+        return Rule(*[_rewritten(a, change) for a in (x.pattern, x.last, x.body)])
+    if isinstance(x, Program):
+        functions = {name: (params, _rewritten(body, change)) for name, (params, body) in x.functions.items()}
+        return Program(*[_rewritten(a, change) for a in (x.begin, x.rules, x.prepare, x.end)], functions)
+    return type(x)(_rewritten(a, change) for a in x) if isinstance(x, (list, tuple)) else x
+
+
 class _Columns:
     """Expressions over one record (or one row of an aggregate) as typed columns."""
 
-    def __init__(self, constants: dict[str, Any], fs: str, variables: dict[str, Typed] | None = None, elements=None, record: bool = True, functions: dict | None = None, members=None) -> None:
+    def __init__(self, constants: dict[str, Any], fs: str | None, variables: dict[str, Typed] | None = None, elements=None, record: bool = True, functions: dict | None = None, members=None) -> None:
         self.constants, self.fs = constants, fs
         self.variables, self.elements, self.members, self.record = variables or {}, elements, members, record
         self.functions = functions or {}
@@ -126,6 +141,8 @@ class _Columns:
                 raise _NoPlan("a computed field is changed")
             n, new = target[0][0], coerce.as_kind(c, kind, "str")
             if n == 0:
+                if self.fs is None:
+                    raise _NoPlan("the record is set, to CSV or TSV")
                 fields = text_.split_fields(new, self.fs)
             else:
                 fields = fields_.assign(self.fields_now, n, new)
@@ -372,11 +389,22 @@ def _all(tests) -> Column:
 
 
 class Script:
-    """A program ready to run over DataFrames with a column `line` (and `file`, if it has several inputs)."""
-
-    def __init__(self, source: str, variables: dict[str, Any] | None = None) -> None:
-        self.source, self.variables = source, dict(variables or {})
+    """A program ready to run over DataFrames with a column `line` (and `file`, if it has several inputs).
+
+    form: "csv" or "tsv", the fields of a line are those of such a file.
+    output: "csv" or "tsv", what print is given is escaped and joined so (FS, OFS and formats of printf aside).
+    header: the first record names the fields: FI["name"] is the number of one; it is no record then.
+    print | "sort ..." orders what the script prints, if all of it goes there.
+    """
+
+    def __init__(self, source: str, variables: dict[str, Any] | None = None, form: str | None = None, output: str | None = None, header: bool = False) -> None:
+        if form not in (None, "csv", "tsv") or output not in (None, "csv", "tsv"):
+            raise ScriptError("form and output are csv or tsv")
+        self.source, self.variables, self.form, self.header = source, dict(variables or {}), form, header
         self.program: Program = parse(source)
+        if output:
+            self.variables["OFS"] = "," if output == "csv" else "\t"
+            self.program = _rewritten(self.program, lambda n: Node("print", ([Node("call", (f"escape_{output}", [a])) for a in n[0]], *n.args[1:])) if n.kind == "print" else n)
         for n in _walk([self.program.begin, self.program.end, self.program.prepare, [(r.pattern, r.last, r.body) for r in self.program.rules], [b for _, b in self.program.functions.values()]]):
             if n.kind == "call" and n[0] == "system":
                 raise ScriptError("commands are not run")
@@ -395,13 +423,39 @@ class Script:
         return "sequential"
 
     def _begun(self) -> tuple[Machine, bool]:
-        m = Machine(self.program, self.variables)
+        m = Machine(self.program, self.variables, self.form)
         return m, m.begin()
 
     def run(self, df: DataFrame, order_by: list[str] | None = None, parallel: bool = False) -> DataFrame:
         """What the script prints, one row (line) a print, without the newline at its end."""
+        prints = [n for n in _walk([self.program.begin, self.program.end, [r.body for r in self.program.rules], [b for _, b in self.program.functions.values()]]) if n.kind in ("print", "printf")]
+        commands = {n[2][0] if n[1] == "|" and n[2].kind == "str" else None for n in prints} | {None for r in self.program.rules if r.body is None}
+        if len(commands) == 1 and None not in commands:
+            plain = copy.copy(self)
+            plain.program = _rewritten(self.program, lambda n: Node(n.kind, (n[0], None, None)) if n.kind in ("print", "printf") else n)
+            return sorted_lines(plain._run(df, order_by, parallel).select("line"), commands.pop())
         return self._run(df, order_by, parallel).select("line")
 
+    def _named(self, df: DataFrame, order_by: list[str] | None) -> tuple[Script, DataFrame]:
+        """The script with the names of the first record in place, and the records after it."""
+        if not order_by:
+            raise ScriptError("a header needs order_by")
+        named = copy.copy(self)
+        named.header = False
+        first = df.orderBy(*order_by).limit(1).collect()  # one row
+        line = (first[0]["line"] or "") if first else ""
+        names = split_form(line, self.form) if self.form else Machine(self.program).split_text(line, text(self._begun()[0].globals["FS"]))
+        at = {x: i for i, x in enumerate(names, 1)}
+        named.variables = self.variables | {"FI": at}
+        known = lambda n: n.kind == "index" and n[0] == "FI" and len(n[1]) == 1 and n[1][0].kind == "str"
+        named.program = _rewritten(self.program, lambda n: Node("int", (at.get(n[1][0][0], 0),)) if known(n) else n)
+        for c in first[:1]:
+            same = F.lit(True)
+            for name in order_by:
+                same = same & F.col(name).eqNullSafe(F.lit(c[name]))
+            df = df.where(~same)
+        return named, df
+
     def write(self, df: DataFrame, path: str, order_by: list[str] | None = None, parallel: bool = False) -> DataFrame:
         """Run the script; what it prints to files goes to folders target=<name> under path, the rest is returned as rows.
 
@@ -415,6 +469,9 @@ class Script:
 
     def _run(self, df: DataFrame, order_by: list[str] | None, parallel: bool) -> DataFrame:
         """What is printed, as line and target."""
+        if self.header:
+            named, df = self._named(df, order_by)
+            return named._run(df, order_by, parallel)
         spark = df.sparkSession
         machine, on = self._begun()
         first = [(t.removesuffix("\n"), target) for target, t in machine.out]
@@ -457,7 +514,9 @@ class Script:
         if used and df is not None and not order_by:
             raise ScriptError("NR and FNR need order_by")
         if df is not None:
-            df = df.withColumn("fields", text_.split_fields(F.col("line"), fs, self._last_field()))
+            line = F.col("line")
+            fields = readers.csv_fields(line) if self.form == "csv" else readers.tsv_fields(line) if self.form else text_.split_fields(line, fs, self._last_field())
+            df = df.withColumn("fields", fields)
             if "NR" in used:
                 df = record_number(df, list(order_by or []), name="_nr")
             if "FNR" in used:
@@ -485,7 +544,7 @@ class Script:
         return self._printed(df, machine, p.rules, numbers)
 
     def _columns(self, machine: Machine, variables: dict[str, Typed]) -> _Columns:
-        cols = _Columns(self._constants(machine), text(machine.globals["FS"]), variables, functions=self.program.functions)
+        cols = _Columns(self._constants(machine), None if self.form else text(machine.globals["FS"]), variables, functions=self.program.functions)
         cols.changes = True
         return cols
 
@@ -519,7 +578,7 @@ class Script:
                 if s.kind == "print":
                     parts = [cols.want(a, "str") for a in s[0]] or [cols.line()]
                     line = F.concat_ws(ofs, *parts)
-                    line = line if ors == "\n" else F.concat(line, F.lit(ors))
+                    line = line if ors == "\n" else F.concat(line, F.lit(ors.removesuffix("\n")))
                 else:
                     if s[0][0].kind != "str":
                         raise _NoPlan("a format that is no constant")
@@ -849,7 +908,7 @@ class Script:
                 row = row.select("*", "_beside.*").drop("_beside")
         variables: dict[str, Typed] = {"NR": (F.col("NR"), "int")} | {n: (F.col(f"v_{n}"), k) for n, (_, k) in kinds.items()}
         variables |= {n: (F.coalesce(f"v_{n}", coerce.as_kind(F.lit(start), "str" if isinstance(start, str) else "float" if isinstance(start, float) else "int", k)), k) for n, (_, k, start) in kept.items()}
-        ofs = text(machine.globals["OFS"])
+        ofs, ors = text(machine.globals["OFS"]), text(machine.globals["ORS"]).removesuffix("\n")
         out: list[DataFrame | None] = []
 
         def shown(s: Node, c: _Columns) -> Column:
@@ -858,7 +917,8 @@ class Script:
             if s.kind == "print":
                 if not s[0]:
                     raise _NoPlan("the record in END")
-                return F.concat_ws(ofs, *[c.want(a, "str") for a in s[0]])
+                line = F.concat_ws(ofs, *[c.want(a, "str") for a in s[0]])
+                return F.concat(line, F.lit(ors)) if ors else line
             if s[0][0].kind != "str":
                 raise _NoPlan("a format that is no constant")
             return F.regexp_replace(text_.sprintf(s[0][0][0], *[c(a) for a in s[0][1:]]), "\n\\z", "")
@@ -921,10 +981,10 @@ class Script:
 
     def _sequential(self, df: DataFrame, machine: Machine, order_by: list[str] | None) -> DataFrame:
         """One evaluator over all records, in order: its own state makes a second impossible."""
-        source, start = self.source, {k: v for k, v in machine.globals.items()}
+        program, form, start = self.program, self.form, dict(machine.globals)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = Machine(parse(source), start)
+            m = Machine(program, start, form)
 
             def records() -> Iterator[tuple[str, str]]:
                 for f in frames:
@@ -939,12 +999,12 @@ class Script:
 
     def _merged(self, df: DataFrame, machine: Machine) -> DataFrame:
         """An evaluator for each partition; states are merged on the driver, then END runs there."""
-        source, start = self.source, {k: v for k, v in machine.globals.items()}
+        program, form, start = self.program, self.form, dict(machine.globals)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            m = Machine(parse(source), start | {"PID": TaskContext.get().partitionId() + 1})
+            m = Machine(program, start | {"PID": TaskContext.get().partitionId() + 1}, form)
             m.main((a, b) for f in frames for a, b in zip(f["file"].fillna(""), f["line"].fillna(""), strict=True))
             state = {k: v for k, v in m.globals.items() if v != start.get(k) and k not in ("PID", "FILENAME", "FNR")}
             yield pd.DataFrame({"line": [t.removesuffix("\n") for _, t in m.out] + [None], "target": [target for target, _ in m.out] + [None], "state": [None] * len(m.out) + [json.dumps(state)]}, dtype=object)
@@ -954,7 +1014,7 @@ class Script:
         for r in got.where("state is not null").select("state").toLocalIterator():
             for k, v in json.loads(r["state"]).items():
                 merged[k] = merge(merged.get(k, ""), v)
-        end = Machine(self.program, merged)
+        end = Machine(self.program, merged, self.form)
         end.end()
         lines = got.where("line is not null").select("line", "target")
         last = [(t.removesuffix("\n"), target) for target, t in end.out]
