@@ -35,7 +35,8 @@ def sliding(df: DataFrame, at: str, size: str, step: str, late: str, *keys: str)
 
 
 def sessions(df: DataFrame, at: str, gap: str, late: str, *keys: str) -> DataFrame:
-    return df.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
+    """Counts of sessions; a record a whole gap after the one before begins a new session, so windows end a microsecond early."""
+    return df.withWatermark(at, late).groupBy(F.session_window(at, f"{gap} -1 microsecond"), *keys).agg(F.count("*").alias("n"))
 
 
 def first_seen(df: DataFrame, at: str, late: str, *keys: str) -> DataFrame:
@@ -65,15 +66,23 @@ def range_hits(df: DataFrame, key: str, order: str, start: Column, stop: Column)
 def finished(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
-    Complete results are kept in memory by the sink (they are aggregates);
-    appended ones are written as files to the checkpoint folder.
+    Both kinds of results are written as files to the checkpoint folder, where the
+    state lies too. A complete result is written anew by each batch, beside that of
+    the batch before; the last one counts.
     """
     spark = df.sparkSession
     home = f"{scratch(spark).rstrip('/')}/stream-{name}"
     if mode == "complete":
-        query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        written: list[str] = []
+
+        def keep(batch: DataFrame, number: int) -> None:
+            path = f"{home}/out/{number % 2}"
+            batch.write.mode("overwrite").parquet(path)
+            written.append(path)
+
+        query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
         query.awaitTermination()
-        return spark.table(name)
+        return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)
     query = df.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{home}/out")
